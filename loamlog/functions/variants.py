@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,18 +28,33 @@ def is_number(value_kind: Column) -> Column:
     return value_kind.isin("BIGINT", "DOUBLE", "FLOAT") | value_kind.startswith("DECIMAL")
 
 
-def _scientific(number: Column) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Name a value, so that using it often computes it once and keeps the plan small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _shortest(number: Column) -> Column:
     """Shortest ``d.ddde±x`` text that reads back as the same double."""
     attempts = [F.format_string(f"%.{digits}e", number) for digits in range(17)]
     return F.coalesce(*[F.when(a.try_cast("double") == number, a) for a in attempts])
 
 
-def _digits_and_exponent(number: Column) -> tuple[Column, Column, Column]:
-    parts = F.split(_scientific(F.abs(number)), "e")
-    digits = F.replace(parts.getItem(0), F.lit("."), F.lit(""))
-    exponent = parts.getItem(1).try_cast("int")
+def _written_out(number: Column, style: Callable[[Column, Column, Column], Column]) -> Column:
+    """``style`` gets the sign, the digits without a point, and the first digit's exponent."""
     sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
-    return sign, digits, exponent
+
+    def styled(parts: Column) -> Column:
+        return _let(
+            F.struct(
+                F.replace(parts[0], F.lit("."), F.lit("")).alias("digits"),
+                parts[1].try_cast("int").alias("exponent"),
+            ),
+            lambda d: style(sign, d["digits"], d["exponent"]),
+        )
+
+    return F.when(number == 0, F.lit("0")).otherwise(
+        _let(F.abs(number), lambda size: _let(F.split(_shortest(size), "e"), styled))
+    )
 
 
 def _positional(sign: Column, digits: Column, exponent: Column) -> Column:
@@ -44,7 +62,7 @@ def _positional(sign: Column, digits: Column, exponent: Column) -> Column:
     return F.concat(
         sign,
         F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
-        .when(exponent >= size - 1, F.concat(digits, F.repeat(F.lit("0"), exponent - size + 1)))
+        .when(exponent >= size - 1, F.rpad(digits, exponent + 1, F.lit("0")))
         .otherwise(
             F.concat(
                 F.substring(digits, F.lit(1), exponent + 1),
@@ -55,6 +73,22 @@ def _positional(sign: Column, digits: Column, exponent: Column) -> Column:
     )
 
 
+def _with_exponent(sign: Column, digits: Column, exponent: Column) -> Column:
+    fraction = F.when(
+        F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))
+    ).otherwise(F.lit(""))
+    mark = F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    power = F.abs(exponent).cast("string")
+    return F.concat(sign, F.substring(digits, 1, 1), fraction, mark, power)
+
+
+def _as_displayed(sign: Column, digits: Column, exponent: Column) -> Column:
+    """Numbers as shown to people: an exponent from 1e21 up and below 1e-6."""
+    return F.when(exponent.between(-6, 20), _positional(sign, digits, exponent)).otherwise(
+        _with_exponent(sign, digits, exponent)
+    )
+
+
 def _is_plain(value: Column, value_kind: Column) -> Column:
     """Values whose variant text already equals the text of their double."""
     text = value.try_cast("string")
@@ -74,35 +108,19 @@ def scalar_text(value: Column) -> Column:
     JSON numbers are doubles to their producers, so integers beyond 2^53 and long
     decimals take the double's value first.
     """
-    number = value.try_cast("double")
-    sign, digits, exponent = _digits_and_exponent(number)
-    return (
-        F.when(_is_plain(value, kind(value)), value.try_cast("string"))
-        .when(number == 0, F.lit("0"))
-        .otherwise(_positional(sign, digits, exponent))
-    )
+    exact = F.when(_is_plain(value, kind(value)), value.try_cast("string"))
+    through_double = _let(value.try_cast("double"), lambda n: _written_out(n, _positional))
+    return exact.otherwise(through_double)
 
 
 def _number_display(value: Column) -> Column:
-    """Numbers as shown to people: an exponent from 1e21 up and below 1e-6."""
-    number = value.try_cast("double")
-    sign, digits, exponent = _digits_and_exponent(number)
-    fraction = F.when(
-        F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))
-    ).otherwise(F.lit(""))
-    exponential = F.concat(
-        sign,
-        F.substring(digits, 1, 1),
-        fraction,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.abs(exponent).cast("string"),
-    )
-    return (
-        F.when(number == 0, F.lit("0"))
-        .when(F.abs(number) == float("inf"), F.when(number > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
-        .when(exponent.between(-6, 20), _positional(sign, digits, exponent))
-        .otherwise(exponential)
-    )
+    def shown(number: Column) -> Column:
+        infinite = F.when(number > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity"))
+        return F.when(F.abs(number) == float("inf"), infinite).otherwise(
+            _written_out(number, _as_displayed)
+        )
+
+    return _let(value.try_cast("double"), shown)
 
 
 def _display_scalar(value: Column, value_kind: Column) -> Column:
@@ -130,9 +148,10 @@ def display_text(value: Column) -> Column:
     )
 
 
-def attributes_text(attributes: Column) -> Column:
+@lru_cache(maxsize=8)
+def attributes_text(column: str) -> Column:
     """Every attribute value as text, in the row itself; an empty map when there are none."""
     texts = F.transform_values(
-        attributes.try_cast("map<string,variant>"), lambda _, value: scalar_text(value)
+        F.col(column).try_cast("map<string,variant>"), lambda _, value: scalar_text(value)
     )
     return F.coalesce(texts, F.create_map().cast("map<string,string>"))

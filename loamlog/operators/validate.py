@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,44 +111,19 @@ def _required_text(field: str, limit: int, empty_reason: str) -> list[tuple[Colu
     ]
 
 
-def validate_entries(entries: DataFrame, now: int, config: IngestConfig) -> DataFrame:
-    """Adds ``reason`` (NULL for a valid entry) and the entry's five fields.
-
-    ``now`` is fixed for the whole run, in epoch microseconds. The first failing
-    rule wins.
-    """
-    entry = F.col("entry")
-
-    def part(name: str) -> Column:
-        return F.try_variant_get(entry, f"$.{name}", "variant")
-
-    def text_of(name: str) -> Column:
-        """The field's text, NULL unless it is a JSON string."""
-        value = F.col(f"_{name}")
-        return F.when(kind(value) == "STRING", value.try_cast("string"))
-
-    fields = ("timestamp", "level", "service", "message")
-    opened = (
-        entries.select("*", *[part(name).alias(f"_{name}") for name in (*fields, "attributes")])
-        .select("*", *[text_of(name).alias(f"_{name}_text") for name in fields])
-        .withColumn("_time", iso_timestamp(F.col("_timestamp_text")))
-        .withColumn(
-            "_attributes_map",
-            F.when(
-                F.col("_attributes").isNotNull(),
-                F.col("_attributes").try_cast("map<string,variant>"),
-            ).otherwise(F.create_map().cast("map<string,variant>")),
-        )
-    )
-    latest = F.timestamp_micros(F.lit(now + _FUTURE_ALLOWED))
+@lru_cache(maxsize=8)
+def _outcome(config: IngestConfig) -> Column:
+    """Reason and fields of an opened entry. It depends on column names alone, and a
+    stream would otherwise build the same long rule chain for every micro-batch."""
     level = F.col("_level_text")
     rules: list[tuple[Column, Column | str]] = [
+        (F.col("batch_reason").isNotNull(), F.col("batch_reason")),
         # Only an object has a string timestamp, so the costlier look at the whole
         # entry is left to entries without one.
-        (F.col("_timestamp_text").isNull() & ~_is_object(entry), ENTRY_NOT_AN_OBJECT),
+        (F.col("_timestamp_text").isNull() & ~_is_object(F.col("entry")), ENTRY_NOT_AN_OBJECT),
         (F.col("_timestamp_text").isNull(), TIMESTAMP_MISSING),
         (F.col("_time").isNull(), TIMESTAMP_INVALID),
-        (F.col("_time") > latest, TIMESTAMP_FUTURE),
+        (F.col("_time") > F.col("_latest"), TIMESTAMP_FUTURE),
         (
             level.isNull() | ~level.isin(*LEVELS),
             F.concat(F.lit("invalid level: '"), display_text(F.col("_level")), F.lit("'")),
@@ -154,15 +131,11 @@ def validate_entries(entries: DataFrame, now: int, config: IngestConfig) -> Data
         *_required_text("service", config.max_service_length, SERVICE_EMPTY),
         *_required_text("message", config.max_message_length, MESSAGE_EMPTY),
     ]
-    reason = F.when(F.col("batch_reason").isNotNull(), F.col("batch_reason"))
+    reason = F
     for failed, text in rules:
-        reason = reason.when(failed, text if isinstance(text, Column) else F.lit(text))
-    reason = reason.otherwise(_attribute_fault(config))
-
-    kept = [c for c in entries.columns if c != "entry"]
-    return opened.select(
-        *kept,
-        reason.alias("reason"),
+        reason = reason.when(failed, text)
+    return F.struct(
+        reason.otherwise(_attribute_fault(config)).alias("reason"),
         F.col("_time").alias("timestamp"),
         level.alias("level"),
         F.col("_service_text").alias("service"),
@@ -171,6 +144,48 @@ def validate_entries(entries: DataFrame, now: int, config: IngestConfig) -> Data
     )
 
 
+@lru_cache(maxsize=1)
+def _opening() -> tuple[list[Column], list[Column], list[Column]]:
+    """Columns in three steps: each field as JSON, its text if it is one, its parsed form."""
+
+    def text_of(name: str) -> Column:
+        value = F.col(f"_{name}")
+        return F.when(kind(value) == "STRING", value.try_cast("string"))
+
+    fields = ("timestamp", "level", "service", "message")
+    attributes = F.col("_attributes")
+    no_attributes = F.create_map().cast("map<string,variant>")
+    return (
+        [
+            F.try_variant_get("entry", f"$.{name}", "variant").alias(f"_{name}")
+            for name in (*fields, "attributes")
+        ],
+        [text_of(name).alias(f"_{name}_text") for name in fields],
+        [
+            iso_timestamp(F.col("_timestamp_text")).alias("_time"),
+            F.when(attributes.isNotNull(), attributes.try_cast("map<string,variant>"))
+            .otherwise(no_attributes)
+            .alias("_attributes_map"),
+        ],
+    )
+
+
+def validate_entries(entries: DataFrame, now: int, config: IngestConfig) -> DataFrame:
+    """Adds ``reason`` (NULL for a valid entry) and the entry's five fields.
+
+    ``now`` is fixed for the whole run, in epoch microseconds. The first failing
+    rule wins.
+    """
+    kept = [c for c in entries.columns if c != "entry"]
+    opened = entries
+    for step in _opening():
+        opened = opened.select("*", *step)
+    opened = opened.withColumn("_latest", F.timestamp_micros(F.lit(now + _FUTURE_ALLOWED)))
+    # A generator rather than plain columns: a later filter on the reason would be
+    # pushed down otherwise, and the whole rule chain be evaluated once more for it.
+    return opened.select(*kept, F.inline(F.array(_outcome(config))))
+
+
 def check_requests(
     requests: DataFrame, now: int, config: IngestConfig | None = None
 ) -> DataFrame:
@@ -192,7 +207,7 @@ def accepted(checked: DataFrame) -> DataFrame:
         "service",
         "message",
         "attributes",
-        attributes_text(F.col("attributes")).alias("attributes_text"),
+        attributes_text("attributes").alias("attributes_text"),
     )
 
 

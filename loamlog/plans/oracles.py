@@ -196,9 +196,10 @@ SELECT id, concat('{{"id":"', id, '","timestamp":"', strftime(log_ts, '%Y-%m-%dT
         "agg_raw_edges": _counts(
             "1h",
             "service",
-            f"(log_ts >= {SINCE} AND log_ts < {FIRST_MINUTE}) "
-            f"OR (log_ts >= {LAST_MINUTE} AND log_ts < {UNTIL})",
+            f"log_ts < {_bucket('1m', '(SELECT min(ts) FROM events)')} + INTERVAL 1 MINUTE "
+            f"OR log_ts >= {_bucket('1m', '(SELECT max(ts) FROM events)')}",
         ),
+        "agg_rollup_whole_range": _counts("1d", "level", "true"),
         "agg_rollup_middle": _counts(
             "5m", "level", f"log_ts >= {FIRST_MINUTE} AND log_ts < {LAST_MINUTE}"
         ),

@@ -184,9 +184,23 @@ for _group_by in (None, "service", "level"):
         _query(f"agg_raw_{_group_by or 'none'}_{_bucket}")(_raw(_bucket, _group_by))
 
 
+def _whole_range(logs: DataFrame, **arguments) -> AggregateQuery:
+    """From the first to just past the last row, so both ends lie within a minute."""
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    ends = logs.agg(F.min(micros).alias("first"), F.max(micros).alias("last")).first()
+    return _range(since=ends["first"], until=ends["last"] + 1, **arguments)
+
+
 @_query()
 def agg_raw_edges(spark, sf_dir):
-    return aggregate_edges(logs_from_events(spark, sf_dir), _range(group_by="service"))
+    logs = logs_from_events(spark, sf_dir)
+    return aggregate_edges(logs, _whole_range(logs, group_by="service"))
+
+
+@_query()
+def agg_rollup_whole_range(spark, sf_dir):
+    logs = logs_from_events(spark, sf_dir)
+    return aggregate(logs, _whole_range(logs, bucket="1d", group_by="level"), minute_rollup(logs))
 
 
 @_query()
