@@ -29,6 +29,7 @@ ATTRIBUTES_NOT_FLAT = (
 ATTRIBUTE_KEY_EMPTY = "attribute keys must be non-empty strings"
 ATTRIBUTE_NOT_FINITE = "attribute number values must be finite"
 
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _FUTURE_ALLOWED = 5 * MINUTE
 
 
@@ -37,19 +38,39 @@ def too_many_logs(config: IngestConfig) -> str:
 
 
 def parse_requests(requests: DataFrame, config: IngestConfig) -> DataFrame:
-    """Adds ``entries`` (the logs array) and ``batch_reason`` where the envelope is at fault."""
-    document = F.try_parse_json(F.col("body"))
-    parsed = requests.withColumn("_document", document).withColumn(
-        "entries", F.try_variant_get("_document", "$.logs", "array<variant>")
+    """Adds ``entries`` (the logs array) and ``batch_reason`` where the envelope is at fault.
+
+    The entries are parsed one by one. Cut out of one big document, each would carry
+    the key list of all the others. The brackets make anything after the document an
+    error too.
+    """
+    bracketed = F.concat(F.lit("["), F.col("body"), F.lit("]"))
+    documents = F.from_json(bracketed, "array<struct<logs:array<variant>>>", _STRICT)
+    parsed = requests.withColumn("_documents", documents).withColumn(
+        "entries", F.when(F.size("_documents") == 1, F.col("_documents")[0]["logs"])
     )
     reason = (
-        F.when(F.col("_document").isNull(), MALFORMED)
-        .when(F.col("entries").isNull() & ~_is_object(F.col("_document")), NOT_AN_OBJECT)
-        .when(F.col("entries").isNull(), NO_LOGS)
+        F.when(F.col("entries").isNull(), _envelope_fault(F.try_parse_json(bracketed)))
         .when(F.size("entries") > config.max_logs_per_batch, too_many_logs(config))
         .when(F.size("entries") == 0, ALL_REJECTED)
     )
-    return parsed.withColumn("batch_reason", reason).drop("_document")
+    # Kept for refused requests only, or every entry would carry a copy of the request.
+    refused_body = F.when(F.col("batch_reason").isNotNull(), F.col("body"))
+    return (
+        parsed.withColumn("batch_reason", reason)
+        .withColumn("body", refused_body)
+        .drop("_documents")
+    )
+
+
+def _envelope_fault(documents: Column) -> Column:
+    """Why there are no entries; looked into for such requests only."""
+    alone = F.size(documents.try_cast("array<variant>")) == 1
+    return (
+        F.when(documents.isNull() | ~alone, MALFORMED)
+        .when(~_is_object(F.try_variant_get(documents, "$[0]", "variant")), NOT_AN_OBJECT)
+        .otherwise(NO_LOGS)
+    )
 
 
 def _is_object(value: Column) -> Column:
@@ -212,13 +233,12 @@ def accepted(checked: DataFrame) -> DataFrame:
 
 
 def rejected(checked: DataFrame) -> DataFrame:
-    """Dead letters: what was refused and why; a NULL index means the whole request.
+    """Dead letters: what was refused and why.
 
-    The body is kept with refused requests only; an entry is found again by its index.
+    A NULL index means the whole request, whose body is kept with it.
     """
-    body = F.when(F.col("index").isNull(), F.col("body"))
     return checked.where(F.col("reason").isNotNull()).select(
-        "request_id", "index", "reason", body.alias("body")
+        "request_id", "index", "reason", "body"
     )
 
 
