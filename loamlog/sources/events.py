@@ -114,6 +114,18 @@ def clean_requests(events: DataFrame) -> DataFrame:
     )
 
 
+def batched_requests(events: DataFrame, size: int) -> DataFrame:
+    """Valid requests of up to ``size`` consecutive events each: ``body``."""
+    return (
+        logs_of(events, "value")
+        .groupBy(F.floor(F.col("id") / size).alias("request"))
+        .agg(F.collect_list(_entry()).alias("entries"))
+        .select(
+            F.concat(F.lit('{"logs":['), F.array_join("entries", ","), F.lit("]}")).alias("body")
+        )
+    )
+
+
 def mixed_requests(events: DataFrame) -> DataFrame:
     """One request per event with damaged copies of it beside it.
 
