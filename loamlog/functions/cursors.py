@@ -61,5 +61,6 @@ def token(ts: Column, row_id: Column) -> Column:
         row_id.cast("string"),
         F.lit('"}'),
     )
-    encoded = F.base64(F.encode(payload, "UTF-8"))
-    return F.rtrim(F.translate(encoded, "+/", "-_"), F.lit("="))
+    # Characters without a counterpart are dropped: the padding, and the line breaks
+    # Spark may put into long texts.
+    return F.translate(F.base64(F.encode(payload, "UTF-8")), "+/=\r\n", "-_")

@@ -98,6 +98,11 @@ def date_literal(micros: int) -> Column:
 
 # ---- driver ----------------------------------------------------------------
 
+# Fixed value: days in 400 years, after which the calendar repeats. Python dates
+# start at year 1, so year 0 is computed one such era later.
+_ERA_DAYS = 146_097
+_EPOCH_ORDINAL = date(1970, 1, 1).toordinal()
+
 
 def to_micros(value: int | str | datetime) -> int:
     """Epoch microseconds from an ISO string, a datetime (naive means UTC) or microseconds."""
@@ -131,8 +136,8 @@ def parse_iso(text: str, micros: bool = False) -> int | None:
         return None
     if minute > 59 or second > 59 or zone[0] > 23 or zone[1] > 59:
         return None
-    # The calendar repeats every 400 years (146 097 days), which brings year 0 into range.
-    days = date(year + 400, month, 1).toordinal() - 146_097 - date(1970, 1, 1).toordinal()
+    eras = 1 if year == 0 else 0
+    days = date(year + 400 * eras, month, 1).toordinal() - eras * _ERA_DAYS - _EPOCH_ORDINAL
     offset = (zone[0] * 3_600 + zone[1] * 60) * (-1 if found[8] == "-" else 1)
     seconds = (days + day - 1) * 86_400 + hour * 3_600 + minute * 60 + second - offset
     return seconds * SECOND + fraction
@@ -141,11 +146,12 @@ def parse_iso(text: str, micros: bool = False) -> int | None:
 def format_iso(micros: int) -> str:
     """Three fraction digits, or six where the value is finer than a millisecond."""
     days, rest = divmod(micros, DAY)
-    shifted = date.fromordinal(days + date(1970, 1, 1).toordinal() + 146_097)
+    eras = 0 if days + _EPOCH_ORDINAL > 0 else 1
+    shifted = date.fromordinal(days + _EPOCH_ORDINAL + eras * _ERA_DAYS)
     seconds, fraction = divmod(rest, SECOND)
     digits = f"{fraction // 1_000:03d}" if fraction % 1_000 == 0 else f"{fraction:06d}"
     clock = f"{seconds // 3_600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
-    return f"{shifted.year - 400:04d}-{shifted:%m-%d}T{clock}.{digits}Z"
+    return f"{shifted.year - 400 * eras:04d}-{shifted:%m-%d}T{clock}.{digits}Z"
 
 
 def floor_minute(micros: int) -> int:

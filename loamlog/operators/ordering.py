@@ -96,19 +96,22 @@ def running_total(
     )
 
 
-def nth_bucket(counts: DataFrame, n: int, descending: bool = False) -> tuple[Any, int] | None:
+def nth_bucket(counts: DataFrame, n: int, descending: bool = False) -> tuple[Any, int]:
     """The bucket holding the n-th row in bucket order, and the rows in front of it.
 
-    ``counts`` has columns ``bucket`` and ``n``, one row per calendar day or per
-    minute of one day, so one ordered pass over it is bounded by the calendar.
+    The bucket is None when there are fewer rows, which are all in front then.
+    ``counts`` has columns ``bucket`` and ``n``, one row per calendar day or minute,
+    so one ordered pass over it is bounded by the calendar and not by the rows.
     """
     order = F.col("bucket").desc() if descending else F.col("bucket").asc()
     so_far = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found: Row | None = (
+    holds = (F.col("reached") >= n) & (F.col("reached") - F.col("n") < n)
+    holding = F.when(holds, F.struct("reached", "n", "bucket"))
+    row: Row = (
         counts.select("bucket", "n", F.sum("n").over(so_far).alias("reached"))
-        .where(F.col("reached") >= n)
-        .orderBy(F.col("reached"))
-        .select("bucket", (F.col("reached") - F.col("n")).alias("before"))
+        .agg(F.min(holding).alias("hit"), F.max("reached").alias("total"))
         .first()
     )
-    return None if found is None else (found["bucket"], int(found["before"]))
+    if row["hit"] is None:
+        return None, int(row["total"] or 0)
+    return row["hit"]["bucket"], int(row["hit"]["reached"] - row["hit"]["n"])

@@ -56,15 +56,12 @@ def find_boundary(logs: DataFrame, before: int, max_rows: int | None) -> Boundar
         counts = scope.groupBy(bucket_start(F.col("timestamp"), bucket).alias("b")).agg(
             F.count(F.lit(1)).alias("n")
         )
-        found = nth_bucket(
-            counts.select(
-                F.unix_micros(F.col("b").cast(T.TimestampType())).alias("bucket"), "n"
-            ),
+        start, skipped = nth_bucket(
+            counts.select(F.unix_micros(F.col("b").cast(T.TimestampType())).alias("bucket"), "n"),
             within,
         )
-        if found is None:
+        if start is None:
             return Boundary(before)
-        start, skipped = found
         within -= skipped
         end = min(start + width, before)
     minute = filters.apply(old, filters.in_time(old, start, end)).select("timestamp", "id")

@@ -16,7 +16,7 @@ rows, never by rewriting.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, timedelta
 from functools import cached_property
@@ -48,6 +48,14 @@ def _midnight(day: date) -> int:
     return (day - _EPOCH).days * DAY
 
 
+def _widening(days: Sequence[date]) -> Iterator[Sequence[date]]:
+    """The days in runs of 1, 2, 4 …, so at most twice as many are read as needed."""
+    start, width = 0, 1
+    while start < len(days):
+        yield days[start : start + width]
+        start, width = start + width, width * 2
+
+
 @dataclass(frozen=True)
 class Cut:
     """Rows of ``day`` written up to ``batch_id`` and not past the position are deleted."""
@@ -74,6 +82,7 @@ class State:
     version: int = 0
     last_batch: int = 0
     next_id: int = 1
+    days: tuple[str, ...] = ()
     streams: dict[str, int] = field(default_factory=dict)
     floors: dict[str, int] = field(default_factory=dict)
     cuts: tuple[Cut, ...] = ()
@@ -82,6 +91,7 @@ class State:
     def parse(cls, text: str) -> State:
         data = json.loads(text)
         data["cuts"] = tuple(Cut(**c) for c in data["cuts"])
+        data["days"] = tuple(data["days"])
         return cls(**data)
 
 
@@ -121,8 +131,16 @@ class LogStore:
     def _glob(self, pattern: str) -> list:
         return list(self._fs.globStatus(self._path(pattern)) or [])
 
+    def _names(self, pattern: str) -> list[str]:
+        return [found.getPath().getName() for found in self._glob(pattern)]
+
+    def _days_of_batch(self, batch_id: int) -> set[str]:
+        """Days a write has just put rows into."""
+        found = self._glob(f"logs/log_date=*/batch_id={batch_id}")
+        return {f.getPath().getParent().getName().removeprefix("log_date=") for f in found}
+
     def state(self) -> State:
-        versions = sorted(s.getPath().getName() for s in self._glob("_state/*.json"))
+        versions = sorted(self._names("_state/*.json"))
         if not versions:
             return State()
         path = self._path(f"_state/{versions[-1]}")
@@ -145,7 +163,7 @@ class LogStore:
             out.close()
         if self._fs.exists(final) or not self._fs.rename(draft, final):
             raise RuntimeError(f"another writer published version {published.version}")
-        for stale in self._glob("_state/*.json")[:-20]:
+        for stale in self._glob("_state/*.json")[:-5]:
             self._fs.delete(stale.getPath(), False)
         return published
 
@@ -181,19 +199,18 @@ class LogStore:
         hot = [T.StructField(HOT_PREFIX + k, T.StringType()) for k in self.hot_attributes]
         return T.StructType([*LOGS.fields, *hot, *PLACEMENT.fields])
 
-    def dates(self, since: int | None = None, until: int | None = None) -> list[date]:
-        """Days that may hold rows of the range, newest first; a listing of folder names."""
+    def dates(
+        self, since: int | None = None, until: int | None = None, state: State | None = None
+    ) -> list[date]:
+        """Days that may hold rows of the range, newest first; known without listing files."""
+        days = sorted(map(date.fromisoformat, (state or self.state()).days), reverse=True)
         return [
             d
-            for d in self._days_of("logs")
+            for d in days
             if (since is None or _midnight(d) + DAY > since)
             and (until is None or _midnight(d) < until)
         ]
 
-    def _days_of(self, table: str) -> list[date]:
-        names = [s.getPath().getName() for s in self._glob(f"{table}/log_date=*")]
-        return sorted((date.fromisoformat(n.split("=")[1]) for n in names), reverse=True)
-
     def _visible(self, state: State) -> Column:
         """Partition predicate: published, and not below its day's floor."""
         shown = F.col("batch_id") <= state.last_batch
@@ -209,12 +226,7 @@ class LogStore:
         self, table: str, schema: T.StructType, state: State, days: Sequence[date]
     ) -> DataFrame:
         """Only the folders of the given days are listed and read."""
-        wanted = set(days)
-        folders = [
-            f"{self.root}/{table}/log_date={d.isoformat()}"
-            for d in self._days_of(table)
-            if d in wanted
-        ]
+        folders = [f"{self.root}/{table}/log_date={d.isoformat()}" for d in days]
         if not folders:
             return self.spark.createDataFrame([], schema)
         return (
@@ -233,7 +245,7 @@ class LogStore:
     ) -> DataFrame:
         """Visible rows. A range narrows the folders that are read; it does not filter rows."""
         state = state or self.state()
-        days = self.dates(since, until) if days is None else days
+        days = self.dates(since, until, state) if days is None else days
         rows = self._scan("logs", self._logs_schema, state, days)
         shown = {d.isoformat() for d in days}
         for cut in state.cuts:
@@ -254,9 +266,10 @@ class LogStore:
         days: Sequence[date] | None = None,
     ) -> DataFrame:
         """Additive minute counts as written; whoever reads them sums them."""
-        days = self.dates(since, until) if days is None else days
+        state = state or self.state()
+        days = self.dates(since, until, state) if days is None else days
         schema = T.StructType([*ROLLUP.fields, *PLACEMENT.fields])
-        return self._scan("rollup_1m", schema, state or self.state(), days).drop("batch_id")
+        return self._scan("rollup_1m", schema, state, days).drop("batch_id")
 
     def rollup(self, since: int | None = None, until: int | None = None) -> DataFrame:
         """One row per minute, service and level."""
@@ -265,7 +278,7 @@ class LogStore:
     def rejected(self) -> DataFrame:
         """The dead letters of all published writes."""
         schema = REJECTED.add("batch_id", T.LongType())
-        if not self._glob("rejected/batch_id=*"):
+        if not self._names("rejected/batch_id=*"):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/rejected")
         return rows.where(F.col("batch_id") <= self.state().last_batch)
@@ -273,7 +286,8 @@ class LogStore:
     # ---- queries -----------------------------------------------------------
 
     def aggregate(self, query: AggregateQuery) -> DataFrame:
-        state, days = self.state(), self.dates(query.since, query.until)
+        state = self.state()
+        days = self.dates(query.since, query.until, state)
         logs = self.logs(state=state, days=days)
         return aggregate(logs, query, self.rollup_deltas(state=state, days=days))
 
@@ -292,8 +306,7 @@ class LogStore:
         until = query.until
         if query.cursor is not None:
             until = min(until or query.cursor.micros + 1, query.cursor.micros + 1)
-        days = self.dates(query.since, until)
-        need = query.limit + 1
+        days = self.dates(query.since, until, state)
         if query.countable:
             start = self._page_start(query, until, days, state)
             if start is not None:
@@ -302,40 +315,38 @@ class LogStore:
             rows = search.collect_newest(self.logs(state=state, days=days), query)
             return search.page_of(rows, query.limit)
         rows: list[Row] = []
-        taken, width = 0, 1
-        while taken < len(days) and len(rows) < need:
-            window = days[taken : taken + width]
+        need = query.limit + 1
+        for window in _widening(days):
             part = replace(query, limit=min(query.limit, need - len(rows)))
             rows += search.collect_newest(self.logs(state=state, days=window), part)
-            taken, width = taken + width, width * 2
+            if len(rows) >= need:
+                break
         return search.page_of(rows[:need], query.limit)
 
     def _page_start(
         self, query: LogQuery, until: int | None, days: Sequence[date], state: State
     ) -> int | None:
         """A minute so early that it and later ones hold the whole page; None if all do."""
-        deltas = self.rollup_deltas(state=state, days=days)
+        need = query.limit + 1
         # Only minutes that end by the upper bound are sure to count in full.
         last = None if until is None else floor_minute(until)
-        counts = filters.apply(
-            deltas,
-            [
-                *filters.same_keys(query.service, query.level),
-                *filters.in_time(deltas, None, last, column="bucket_start"),
-            ],
-        )
-        need = query.limit + 1
-        by_day = counts.groupBy(F.col("log_date").alias("bucket")).agg(F.sum("log_count").alias("n"))
-        day = nth_bucket(by_day, need, descending=True)
-        if day is None:
-            return None
-        by_minute = (
-            counts.where(F.col("log_date") == F.lit(day[0]))
-            .groupBy(F.unix_micros("bucket_start").alias("bucket"))
-            .agg(F.sum("log_count").alias("n"))
-        )
-        minute = nth_bucket(by_minute, need - day[1], descending=True)
-        return None if minute is None else minute[0]
+        for window in _widening(days):
+            deltas = self.rollup_deltas(state=state, days=window)
+            counted = filters.apply(
+                deltas,
+                [
+                    *filters.same_keys(query.service, query.level),
+                    *filters.in_time(deltas, None, last, column="bucket_start"),
+                ],
+            )
+            minutes = counted.groupBy(F.unix_micros("bucket_start").alias("bucket"))
+            minute, before = nth_bucket(
+                minutes.agg(F.sum("log_count").alias("n")), need, descending=True
+            )
+            if minute is not None:
+                return minute
+            need -= before
+        return None
 
     # ---- writing -----------------------------------------------------------
 
@@ -390,6 +401,7 @@ class LogStore:
                 state,
                 last_batch=batch_id,
                 next_id=state.next_id + sizes["accepted"],
+                days=tuple(sorted({*state.days, *self._days_of_batch(batch_id)})),
                 streams=streams,
             )
         )
@@ -446,18 +458,16 @@ class LogStore:
         before = retention.cutoff(to_micros(now), config)
         boundary = self._boundary(before, config.max_rows, state)
         edge = _day(boundary.micros)
-        whole = [d for d in self.dates(until=boundary.micros) if d < edge]
+        days = self.dates(state=state)
+        whole = [d for d in days if d < edge]
+        partly = [d for d in days if d == edge]
         batch_id = state.last_batch + 1
         self._clear_leftovers(batch_id)
 
-        gone = retention.deleted_rows(
-            self.logs(state=state, days=[d for d in self.dates() if d == edge]), boundary
-        )
+        gone = retention.deleted_rows(self.logs(state=state, days=partly), boundary)
         removed = minute_rollup(gone).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            stored = merge_rollups(
-                self.rollup_deltas(state=state, days=[d for d in self.dates() if d == edge])
-            ).drop("log_date")
+            stored = merge_rollups(self.rollup_deltas(state=state, days=partly)).drop("log_date")
             totals = retention.totals_of(stored, removed.drop("log_date")).first().asDict()
             if totals["deleted_count"]:
                 self._write_rollup(negated(removed), batch_id)
@@ -478,6 +488,7 @@ class LogStore:
             replace(
                 state,
                 last_batch=batch_id,
+                days=tuple(d for d in state.days if d not in hidden),
                 floors={**state.floors, **{d: batch_id for d in hidden}},
                 cuts=(
                     *(c for c in state.cuts if c.day not in hidden and not cut.includes(c)),
@@ -491,16 +502,14 @@ class LogStore:
         """As ``retention.find_boundary``, with days and minutes counted from the rollup."""
         if max_rows is None:
             return retention.Boundary(before)
-        days = self.dates(until=before)
-        counts = self.rollup_deltas(state=state, days=days)
+        counts = self.rollup_deltas(until=before, state=state)
         by_day = counts.groupBy(F.col("log_date").alias("bucket")).agg(F.sum("log_count").alias("n"))
-        day = nth_bucket(by_day, max_rows)
+        day, skipped = nth_bucket(by_day, max_rows)
         if day is None:
             return retention.Boundary(before)
-        rest = retention.find_boundary(
-            self.logs(state=state, days=[day[0]]), before, max_rows - day[1]
+        return retention.find_boundary(
+            self.logs(state=state, days=[day]), before, max_rows - skipped
         )
-        return rest
 
     def rewrite(
         self,
@@ -512,7 +521,7 @@ class LogStore:
         ``transform`` may change columns but must keep the rows.
         """
         state = self.state()
-        days = [d for d in self.dates() if d in set(days)]
+        days = [d for d in self.dates(state=state) if d in set(days)]
         batch_id = state.last_batch + 1
         if not days:
             return state.last_batch

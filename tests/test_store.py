@@ -1,0 +1,256 @@
+"""Ingest, replay, retention, compaction and streaming on stored tables."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from loamlog.functions.timestamps import DAY, MINUTE, format_iso, to_micros
+from loamlog.operators.retention import cutoff, find_boundary, retain
+from loamlog.operators.rollup import minute_rollup
+from loamlog.plans.params import AggregateQuery, LogQuery
+from loamlog.schema import IngestConfig, RetentionConfig
+from loamlog.sources.batches import read_requests, with_request_id
+from loamlog.sources.store import LogStore
+from loamlog.streaming.ingest import ingest_stream
+from tests.conftest import BASE, NOW, at, log, requests, stored
+
+
+def _ids(store):
+    return sorted(r["id"] for r in store.logs().select("id").collect())
+
+
+def _assert_exact(store):
+    """The minute counts must equal a recount of the visible rows."""
+    counted = sorted(map(tuple, minute_rollup(store.logs().drop("log_date")).collect()))
+    assert sorted(map(tuple, store.rollup().collect())) == counted
+
+
+def _spread(count, seed, first=BASE - 5 * DAY, span=5 * DAY + 540 * MINUTE):
+    rng = random.Random(seed)
+    return [
+        log(
+            timestamp=format_iso(first + rng.randrange(0, span // 1000) * 1000),
+            service=rng.choice(["a", "b"]),
+            level=rng.choice(["info", "error"]),
+            attributes={"n": i},
+        )
+        for i in range(count)
+    ]
+
+
+def test_ingest_numbers_rows_in_input_order(spark, tmp_path):
+    store = stored(spark, tmp_path, log(message="a"), log(level="x"), log(message="b"))
+    result = store.ingest(
+        requests(spark, {"logs": [log(message="c")]}, "[]", {"logs": [log(message="d"), 5]}), NOW
+    )
+    assert (result.accepted, result.rejected) == (2, 2)
+    rows = store.logs().orderBy("id").select("id", "message").collect()
+    assert [tuple(r) for r in rows] == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    bad = store.rejected().orderBy("batch_id", "request_id").collect()
+    assert [(r["index"], r["body"]) for r in bad] == [(1, None), (None, "[]"), (1, None)]
+    _assert_exact(store)
+
+
+def test_ids_are_dense_over_many_partitions(spark, tmp_path):
+    bodies = [{"logs": [log(message=f"{i}-{k}") for k in range(7)] + [1]} for i in range(40)]
+    frame = requests(spark, *bodies).repartitionByRange(5, "request_id")
+    store = stored(spark, tmp_path)
+    assert store.ingest(frame, NOW).accepted == 280
+    rows = store.logs().orderBy("id").select("id", "message").collect()
+    assert [r["id"] for r in rows] == list(range(1, 281))
+    assert [r["message"] for r in rows] == [f"{i}-{k}" for i in range(40) for k in range(7)]
+
+
+def test_all_rejected_writes_nothing(spark, tmp_path):
+    store = stored(spark, tmp_path, log(level="x"))
+    assert store.logs().count() == 0 and store.rejected().count() == 1
+    assert store.state().next_id == 1
+
+
+def test_attributes_keep_their_types(spark, tmp_path):
+    given = {"s": "x", "n": 3, "f": 0.5, "t": True}
+    store = stored(spark, tmp_path, log(attributes=given))
+    assert store.search(LogQuery()).logs[0]["attributes"] == given
+    types = store.logs().select(F.schema_of_variant("attributes")).first()[0]
+    assert types == "OBJECT<f: DECIMAL(1,1), n: BIGINT, s: STRING, t: BOOLEAN>"
+
+
+def test_replayed_epoch_changes_nothing(spark, tmp_path):
+    store = stored(spark, tmp_path)
+    frame = requests(spark, {"logs": [log()]})
+    assert store.ingest(frame, NOW, stream="s", epoch=0).accepted == 1
+    assert store.ingest(frame, NOW, stream="s", epoch=0).batch_id is None
+    assert store.ingest(frame, NOW, stream="other", epoch=0).accepted == 1
+    assert _ids(store) == [1, 2]
+    _assert_exact(store)
+
+
+def test_unpublished_write_stays_invisible(spark, tmp_path, monkeypatch):
+    store = stored(spark, tmp_path, log(message="kept"))
+
+    def crash(*_):
+        raise RuntimeError("lost driver")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "_publish", crash)
+        with pytest.raises(RuntimeError):
+            store.ingest(requests(spark, {"logs": [log(timestamp=at(-DAY / 1e6))]}), NOW)
+    assert _ids(store) == [1]
+    # The next write takes the same number and must not revive the lost rows.
+    store.ingest(requests(spark, {"logs": [log(message="next")]}), NOW)
+    rows = store.logs().orderBy("id").select("id", "message").collect()
+    assert [tuple(r) for r in rows] == [(1, "kept"), (2, "next")]
+    _assert_exact(store)
+
+
+def test_second_writer_is_refused(spark, tmp_path):
+    store = stored(spark, tmp_path, log())
+    stale = store.state()
+    store.ingest(requests(spark, {"logs": [log()]}), NOW)
+    with pytest.raises(RuntimeError):
+        store._publish(stale)
+
+
+@pytest.mark.parametrize("batch_size, max_batches", [(None, 20), (7, 5), (40, 100), (1, 1)])
+def test_retention_keeps_counts_exact(spark, tmp_path, batch_size, max_batches):
+    entries = _spread(120, seed=3) + [log(timestamp=at(-2 * 86400 + 30)) for _ in range(20)]
+    store = stored(spark, tmp_path, *entries)
+    config = RetentionConfig(days=2, batch_size=batch_size, max_batches=max_batches)
+    now = BASE + 31_000_000
+    expired = sorted(
+        (to_micros(e["timestamp"]), i + 1)
+        for i, e in enumerate(entries)
+        if to_micros(e["timestamp"]) < now - 2 * DAY
+    )
+    gone = {i for _, i in expired[: config.max_rows]}
+    before = store.rollup().count()
+    totals = store.retain(now, config)
+    assert _ids(store) == [i for i in range(1, len(entries) + 1) if i not in gone]
+    assert totals["deleted_count"] == len(gone)
+    assert before - store.rollup().count() == totals["rollup_rows_removed"]
+    _assert_exact(store)
+    # A second run goes on where the first one stopped.
+    store.retain(now, config)
+    gone = {i for _, i in expired[: 2 * config.max_rows]} if config.max_rows else gone
+    assert _ids(store) == [i for i in range(1, len(entries) + 1) if i not in gone]
+    _assert_exact(store)
+
+
+def test_late_rows_survive_until_the_next_run(spark, tmp_path):
+    store = stored(spark, tmp_path, *_spread(30, seed=5))
+    config = RetentionConfig(days=1, batch_size=None)
+    store.retain(BASE, config)
+    kept = _ids(store)
+    late = [log(timestamp=at(-86400 * k - 5)) for k in (1, 2, 3)]
+    store.ingest(requests(spark, {"logs": late}), NOW)
+    assert len(_ids(store)) == len(kept) + 3
+    _assert_exact(store)
+    assert store.retain(BASE, config)["deleted_count"] == 3
+    assert _ids(store) == kept
+    _assert_exact(store)
+    assert store.retain(BASE, config)["deleted_count"] == 0
+
+
+def test_compaction_and_vacuum_change_no_result(spark, tmp_path):
+    store = stored(spark, tmp_path, *_spread(60, seed=8), hot_attributes=("n",))
+    store.ingest(requests(spark, {"logs": _spread(60, seed=9)}), NOW)
+    store.retain(BASE + 7 * MINUTE, RetentionConfig(days=3, batch_size=None))
+    ids, page = _ids(store), store.search(LogQuery(limit=20))
+    store.compact()
+    assert _ids(store) == ids and store.search(LogQuery(limit=20)) == page
+    assert store.state().cuts == ()
+    _assert_exact(store)
+    assert store.vacuum() > 0
+    assert store.vacuum() == 0
+    assert _ids(store) == ids and store.search(LogQuery(limit=20)) == page
+    _assert_exact(store)
+    store.ingest(requests(spark, {"logs": [log()]}), NOW)
+    assert len(_ids(store)) == len(ids) + 1
+    found = store.search(LogQuery(attributes={"n": "5"})).logs
+    assert all(entry["attributes"]["n"] == 5 for entry in found) and found
+
+
+def test_backfill_restores_attribute_texts(spark, tmp_path):
+    store = stored(spark, tmp_path, log(attributes={"n": 1.0}))
+    store.rewrite(
+        store.dates(),
+        lambda rows: rows.withColumn("attributes_text", F.create_map().cast("map<string,string>")),
+    )
+    assert store.search(LogQuery(attributes={"n": "1"})).logs == []
+    store.backfill_attributes()
+    assert len(store.search(LogQuery(attributes={"n": "1"})).logs) == 1
+
+
+def test_retention_over_frames(spark):
+    rng = random.Random(2)
+    hot = BASE + 30 * MINUTE
+    rows = [(i, rng.choice([hot, hot + 1, BASE + rng.randrange(0, 3 * DAY)])) for i in range(1, 400)]
+    logs = spark.createDataFrame(rows, "id long, us long").select(
+        "id",
+        F.timestamp_micros("us").alias("timestamp"),
+        F.lit("s").alias("service"),
+        F.when(F.col("id") % 3 == 0, "info").otherwise("warn").alias("level"),
+    )
+    order = sorted((us, i) for i, us in rows)
+    now = BASE + DAY + 30 * DAY
+    assert cutoff(now, RetentionConfig()) == BASE + DAY
+    old = [x for x in order if x[0] < BASE + DAY]
+    for cap in (1, 50, len(old) - 1, len(old), len(old) + 5):
+        result = retain(logs, minute_rollup(logs), now, RetentionConfig(batch_size=cap, max_batches=1))
+        left = {r["id"] for r in result.survivors.collect()}
+        assert left == {i for i, _ in rows} - {i for _, i in old[:cap]}
+        recount = sorted(map(tuple, minute_rollup(result.survivors).collect()))
+        assert sorted(map(tuple, result.rollup.collect())) == recount
+        assert result.totals.first()["deleted_count"] == min(cap, len(old))
+    assert find_boundary(logs, BASE + DAY, None).last_id is None
+    off = retain(logs, minute_rollup(logs), now, RetentionConfig(enabled=False))
+    assert off.survivors.count() == 399 and off.totals.first()["deleted_count"] == 0
+
+
+def test_counts_without_rows_are_left_alone(spark):
+    schema = "id long, us long, service string, level string"
+    logs = spark.createDataFrame([(1, 0, "a", "info"), (2, 0, "b", "info")], schema)
+    logs = logs.withColumn("timestamp", F.timestamp_micros("us")).drop("us")
+    rollup = minute_rollup(logs.where("service = 'a'")).unionByName(
+        minute_rollup(logs.withColumn("service", F.lit("c")))
+    )
+    result = retain(logs, rollup, 31 * DAY, RetentionConfig())
+    assert [tuple(r)[1:] for r in result.rollup.collect()] == [("c", "info", 2)]
+    assert tuple(result.totals.first()) == (2, 1)
+
+
+def test_stream_ingest_and_restart(spark, tmp_path):
+    folder = tmp_path / "requests"
+    folder.mkdir()
+    store = LogStore(spark, f"{tmp_path}/store", IngestConfig(max_files_per_trigger=1))
+
+    def drop(name, *entries):
+        (folder / name).write_text(json.dumps({"logs": list(entries)}) + "\n")
+
+    def drain():
+        ingest_stream(
+            store, str(folder), f"{tmp_path}/progress", drain=True, clock=lambda: NOW
+        ).awaitTermination()
+
+    drop("one.json", log(message="1"), log(level="x"))
+    drop("two.json", log(message="2"))
+    drain()
+    assert _ids(store) == [1, 2] and store.state().streams == {"requests": 1}
+    drain()
+    assert _ids(store) == [1, 2]
+    drop("three.json", log(message="3", timestamp="2001-01-01T00:00:00Z"))
+    drain()
+    assert _ids(store) == [1, 2, 3] and store.rejected().count() == 1
+    query = AggregateQuery(since="2000-01-01T00:00:00Z", until=NOW, bucket="1d")
+    assert [r["count"] for r in store.aggregate(query).collect()] == [1, 2]
+    _assert_exact(store)
+
+
+def test_request_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"logs":[]}\n[]\n')
+    rows = read_requests(spark, str(tmp_path)).orderBy("request_id").collect()
+    assert [r["body"] for r in rows] == ['{"logs":[]}', "[]"]
+    frame = with_request_id(requests(spark, "[]").drop("request_id"))
+    assert frame.columns == ["body", "request_id"]
