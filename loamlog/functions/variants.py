@@ -28,7 +28,7 @@ def is_number(value_kind: Column) -> Column:
     return value_kind.isin("BIGINT", "DOUBLE", "FLOAT") | value_kind.startswith("DECIMAL")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Name a value, so that using it often computes it once and keeps the plan small."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -44,7 +44,7 @@ def _written_out(number: Column, style: Callable[[Column, Column, Column], Colum
     sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
 
     def styled(parts: Column) -> Column:
-        return _let(
+        return let(
             F.struct(
                 F.replace(parts[0], F.lit("."), F.lit("")).alias("digits"),
                 parts[1].try_cast("int").alias("exponent"),
@@ -53,7 +53,7 @@ def _written_out(number: Column, style: Callable[[Column, Column, Column], Colum
         )
 
     return F.when(number == 0, F.lit("0")).otherwise(
-        _let(F.abs(number), lambda size: _let(F.split(_shortest(size), "e"), styled))
+        let(F.abs(number), lambda size: let(F.split(_shortest(size), "e"), styled))
     )
 
 
@@ -89,28 +89,27 @@ def _as_displayed(sign: Column, digits: Column, exponent: Column) -> Column:
     )
 
 
-def _is_plain(value: Column, value_kind: Column) -> Column:
-    """Values whose variant text already equals the text of their double."""
-    text = value.try_cast("string")
-    # Fixed value: integers up to 2^53 are exact in a double, and so are 15 digits.
-    small_integer = (value_kind == "BIGINT") & value.try_cast("bigint").between(
-        -(2**53), 2**53
-    )
-    short_decimal = value_kind.startswith("DECIMAL") & (
-        F.length(F.regexp_replace(text, r"^[-0.]+|\.", "")) <= 15
-    )
-    return value_kind.isin("STRING", "BOOLEAN") | small_integer | short_decimal
-
-
 def scalar_text(value: Column) -> Column:
     """Text of a string, boolean or number; numbers in full positional notation.
 
     JSON numbers are doubles to their producers, so integers beyond 2^53 and long
     decimals take the double's value first.
     """
-    exact = F.when(_is_plain(value, kind(value)), value.try_cast("string"))
-    through_double = _let(value.try_cast("double"), lambda n: _written_out(n, _positional))
-    return exact.otherwise(through_double)
+    through_double = let(value.try_cast("double"), lambda n: _written_out(n, _positional))
+    # Integers up to 2^53 are exact in a double, and so are 15 digits.
+    exact_integer = value.try_cast("bigint").between(-(2**53), 2**53)
+
+    def by_kind(value_kind: Column, text: Column) -> Column:
+        digits = F.regexp_replace(text, r"^[-0.]+|\.", "")
+        return (
+            F.when(value_kind.isin("STRING", "BOOLEAN"), text)
+            .when((value_kind != "DOUBLE") & (F.length(text) <= 15), text)
+            .when((value_kind == "BIGINT") & exact_integer, text)
+            .when(value_kind.startswith("DECIMAL") & (F.length(digits) <= 15), text)
+            .otherwise(through_double)
+        )
+
+    return let(kind(value), lambda k: let(value.try_cast("string"), lambda t: by_kind(k, t)))
 
 
 def _number_display(value: Column) -> Column:
@@ -120,7 +119,7 @@ def _number_display(value: Column) -> Column:
             _written_out(number, _as_displayed)
         )
 
-    return _let(value.try_cast("double"), shown)
+    return let(value.try_cast("double"), shown)
 
 
 def _display_scalar(value: Column, value_kind: Column) -> Column:

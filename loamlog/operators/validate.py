@@ -93,11 +93,15 @@ def _attribute_fault(config: IngestConfig) -> Column:
     attributes = F.col("_attributes_map")
 
     def fault(pair: Column) -> Column:
-        key, value = pair.getField("key"), pair.getField("value")
-        value_kind = kind(value)
+        return variants.let(
+            kind(pair["value"]), lambda name: fault_of(pair["key"], pair["value"], name)
+        )
+
+    def fault_of(key: Column, value: Column, value_kind: Column) -> Column:
         is_text = value_kind == "STRING"
         is_number = variants.is_number(value_kind)
-        number = value.try_cast("double")
+        # Only doubles can be infinite.
+        infinite = (value_kind == "DOUBLE") & (F.abs(value.try_cast("double")) == float("inf"))
         return (
             F.when(key == "", ATTRIBUTE_KEY_EMPTY)
             .when(
@@ -105,7 +109,7 @@ def _attribute_fault(config: IngestConfig) -> Column:
                 f"attribute keys must be at most {config.max_attribute_key_length} characters",
             )
             .when(~(is_text | is_number | (value_kind == "BOOLEAN")), ATTRIBUTES_NOT_FLAT)
-            .when(is_number & (F.abs(number) == float("inf")), ATTRIBUTE_NOT_FINITE)
+            .when(infinite, ATTRIBUTE_NOT_FINITE)
             .when(
                 is_text & longer_than(value.try_cast("string"), config.max_attribute_value_length),
                 "attribute string values must be at most "

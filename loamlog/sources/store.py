@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, timedelta
 from functools import cached_property
@@ -56,6 +57,13 @@ def _widening(days: Sequence[date]) -> Iterator[Sequence[date]]:
         start, width = start + width, width * 2
 
 
+def _together(jobs: Sequence[Callable[[], None]]) -> None:
+    """Run independent Spark jobs side by side; the first error is raised once all ended."""
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
 @dataclass(frozen=True)
 class Cut:
     """Rows of ``day`` written up to ``batch_id`` and not past the position are deleted."""
@@ -382,15 +390,17 @@ class LogStore:
                 F.count_if(F.col("reason").isNotNull()).alias("rejected"),
             ).first()
             self._clear_leftovers(batch_id)
+            day = F.to_date("timestamp")
+            rows = keyed.withColumn("log_date", day)
+            counts = minute_rollup(good.withColumn("log_date", day))
+            letters = validate.rejected(checked).write.mode("overwrite")
+            writes: list[Callable[[], None]] = []
             if sizes["accepted"]:
-                rows = keyed.withColumn("log_date", F.to_date("timestamp"))
-                self._write_logs(rows, batch_id, hint="rebalance")
-                counted = good.withColumn("log_date", F.to_date("timestamp"))
-                self._write_rollup(minute_rollup(counted), batch_id)
+                writes.append(lambda: self._write_logs(rows, batch_id, hint="rebalance"))
+                writes.append(lambda: self._write_rollup(counts, batch_id))
             if sizes["rejected"]:
-                validate.rejected(checked).write.mode("overwrite").parquet(
-                    f"{self.root}/rejected/batch_id={batch_id}"
-                )
+                writes.append(lambda: letters.parquet(f"{self.root}/rejected/batch_id={batch_id}"))
+            _together(writes)
         finally:
             checked.unpersist()
         streams = dict(state.streams)
@@ -430,6 +440,8 @@ class LogStore:
         )
         for column in hot:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        # Filters as small as the distinct values need, instead of a fixed megabyte each.
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{self.root}/logs")
 
     def _write_rollup(self, counts: DataFrame, batch_id: int) -> None:
@@ -529,8 +541,14 @@ class LogStore:
         rows = self.logs(state=state, days=days)
         stale = [c for c in rows.columns if c.startswith(HOT_PREFIX)]
         rows = rows.drop(*stale)
-        self._write_logs(transform(rows) if transform else rows, batch_id, hint="range")
-        self._write_rollup(merge_rollups(self.rollup_deltas(state=state, days=days)), batch_id)
+        rows = transform(rows) if transform else rows
+        counts = merge_rollups(self.rollup_deltas(state=state, days=days))
+        _together(
+            [
+                lambda: self._write_logs(rows, batch_id, hint="range"),
+                lambda: self._write_rollup(counts, batch_id),
+            ]
+        )
         rewritten = {d.isoformat() for d in days}
         self._publish(
             replace(
