@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -27,6 +27,9 @@ class Page:
     logs: list[dict[str, Any]]
     next_cursor: str | None
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), ensure_ascii=False)
+
 
 def _order() -> list[Column]:
     return [F.col(name).desc() for name in NEWEST_FIRST]

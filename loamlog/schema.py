@@ -82,10 +82,14 @@ class IngestConfig:
 
 @dataclass(frozen=True)
 class RetentionConfig:
-    """How long rows live and how many may be deleted in one run (None: all expired)."""
+    """How long rows live, how often a run is due and how many rows it may delete.
+
+    Without a ``batch_size`` a run deletes everything that has expired.
+    """
 
     enabled: bool = True
     days: int = 30
+    interval_minutes: int = 15
     batch_size: int | None = 5_000
     max_batches: int = 20
 

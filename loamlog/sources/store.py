@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamlog.functions.timestamps import DAY, floor_minute, to_micros
+from loamlog.functions.timestamps import DAY, floor_minute, literal, to_micros
 from loamlog.operators import filters, retention, search, validate
 from loamlog.operators.aggregate import aggregate
 from loamlog.operators.filters import HOT_PREFIX
@@ -254,6 +254,9 @@ class LogStore:
         """Visible rows. A range narrows the folders that are read; it does not filter rows."""
         state = state or self.state()
         days = self.dates(since, until, state) if days is None else days
+        return self._rows(state, days).drop("batch_id")
+
+    def _rows(self, state: State, days: Sequence[date]) -> DataFrame:
         rows = self._scan("logs", self._logs_schema, state, days)
         shown = {d.isoformat() for d in days}
         for cut in state.cuts:
@@ -264,7 +267,7 @@ class LogStore:
                     & cut.boundary.covers(T.TimestampType())
                 )
                 rows = rows.where(~gone)
-        return rows.drop("batch_id")
+        return rows
 
     def rollup_deltas(
         self,
@@ -476,7 +479,7 @@ class LogStore:
         batch_id = state.last_batch + 1
         self._clear_leftovers(batch_id)
 
-        gone = retention.deleted_rows(self.logs(state=state, days=partly), boundary)
+        gone = retention.deleted_rows(self._not_yet_cut(state, partly), boundary)
         removed = minute_rollup(gone).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             stored = merge_rollups(self.rollup_deltas(state=state, days=partly)).drop("log_date")
@@ -510,6 +513,22 @@ class LogStore:
         )
         return totals
 
+    def _not_yet_cut(self, state: State, days: Sequence[date]) -> DataFrame:
+        """Visible rows of the day retention stopped in, without reading past deletions again.
+
+        In front of the last cut only writes made after it can have rows, and behind it
+        the time filter skips row groups.
+        """
+        rows = self._rows(state, days)
+        shown = {d.isoformat() for d in days}
+        cuts = [c for c in state.cuts if c.day in shown]
+        if len(cuts) != 1:
+            return rows.drop("batch_id")
+        at = literal(cuts[0].micros, T.TimestampType())
+        late = (F.col("batch_id") > cuts[0].batch_id) & (F.col("timestamp") < at)
+        behind = rows.where(F.col("timestamp") >= at)
+        return behind.unionByName(rows.where(late)).drop("batch_id")
+
     def _boundary(self, before: int, max_rows: int | None, state: State) -> retention.Boundary:
         """As ``retention.find_boundary``, with days and minutes counted from the rollup."""
         if max_rows is None:

@@ -14,7 +14,7 @@ from loamlog.schema import IngestConfig, RetentionConfig
 from loamlog.sources.batches import read_requests, with_request_id
 from loamlog.sources.store import LogStore
 from loamlog.streaming.ingest import ingest_stream
-from tests.conftest import BASE, NOW, at, log, requests, stored
+from tests.conftest import BASE, NOW, at, explained, log, requests, stored
 
 
 def _ids(store):
@@ -248,6 +248,53 @@ def test_stream_ingest_and_restart(spark, tmp_path):
     _assert_exact(store)
 
 
+def test_retention_rides_on_the_stream(spark, tmp_path):
+    folder = tmp_path / "requests"
+    folder.mkdir()
+    store = LogStore(spark, f"{tmp_path}/store", IngestConfig(max_files_per_trigger=1))
+    for name, days in (("a.json", 40), ("b.json", 1), ("c.json", 50)):
+        entry = log(timestamp=format_iso(NOW - days * DAY))
+        (folder / name).write_text(json.dumps({"logs": [entry]}) + "\n")
+    ingest_stream(
+        store, str(folder), f"{tmp_path}/progress", drain=True, clock=lambda: NOW,
+        retention=RetentionConfig(),
+    ).awaitTermination()
+    # The run after the first batch took its expired row; the next one is not due yet.
+    kept = store.logs().count()
+    assert kept < 3
+    _assert_exact(store)
+
+
+def test_stored_rows_respect_the_domains(spark, tmp_path):
+    entries = [log(), log(level="x"), log(service=""), log(message=""), 7, *_spread(20, seed=1)]
+    logs = stored(spark, tmp_path, *entries).logs()
+    wrong = (
+        ~F.col("level").isin("debug", "info", "warn", "error")
+        | (F.char_length("service") == 0)
+        | (F.char_length("message") == 0)
+        | (F.to_date("timestamp") != F.col("log_date"))
+    )
+    assert logs.count() == 21 and logs.where(wrong).count() == 0
+    nulls = [F.count_if(F.col(c).isNull()) for c in logs.columns]
+    assert set(logs.agg(*nulls).first()) == {0}
+
+
+def test_retention_reads_on_from_the_last_cut(spark, tmp_path):
+    store = stored(spark, tmp_path, *_spread(80, seed=6))
+    config = RetentionConfig(days=1, batch_size=None)
+    for minutes in (0, 20, 20, 200, 400):
+        store.retain(BASE + minutes * MINUTE, config)
+        _assert_exact(store)
+        late = log(timestamp=format_iso(BASE - DAY + 5 * MINUTE))
+        store.ingest(requests(spark, {"logs": [late]}), NOW)
+    cut = store.state().cuts
+    assert len(cut) == 1
+    days = [d for d in store.dates() if d.isoformat() == cut[0].day]
+    plan = explained(store._not_yet_cut(store.state(), days))
+    assert "GreaterThanOrEqual(timestamp," in plan and "batch_id#" in plan
+    assert f"> {cut[0].batch_id}" in plan
+
+
 def test_request_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"logs":[]}\n[]\n')
     rows = read_requests(spark, str(tmp_path)).orderBy("request_id").collect()
