@@ -86,14 +86,19 @@ def iso_millis(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def literal(micros: int, dtype: T.DataType) -> Column:
+def sql_literal(micros: int, dtype: T.DataType) -> str:
     """A time literal of the column's own type, so comparisons stay cast-free and push down."""
-    value = F.timestamp_micros(F.lit(micros))
-    return value.cast("timestamp_ntz") if isinstance(dtype, T.TimestampNTZType) else value
+    value = f"timestamp_micros({micros})"
+    return f"CAST({value} AS TIMESTAMP_NTZ)" if isinstance(dtype, T.TimestampNTZType) else value
+
+
+def literal(micros: int, dtype: T.DataType) -> Column:
+    return F.expr(sql_literal(micros, dtype))
 
 
-def date_literal(micros: int) -> Column:
-    return F.date_from_unix_date(F.lit(micros // DAY))
+def sql_date(micros: int) -> str:
+    """The UTC day of a time, as a date literal."""
+    return f"date_from_unix_date({micros // DAY})"
 
 
 # ---- driver ----------------------------------------------------------------

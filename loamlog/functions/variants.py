@@ -99,17 +99,22 @@ def scalar_text(value: Column) -> Column:
     # Integers up to 2^53 are exact in a double, and so are 15 digits.
     exact_integer = value.try_cast("bigint").between(-(2**53), 2**53)
 
-    def by_kind(value_kind: Column, text: Column) -> Column:
+    def number_text(value_kind: Column, text: Column) -> Column:
         digits = F.regexp_replace(text, r"^[-0.]+|\.", "")
         return (
-            F.when(value_kind.isin("STRING", "BOOLEAN"), text)
-            .when((value_kind != "DOUBLE") & (F.length(text) <= 15), text)
+            F.when((value_kind != "DOUBLE") & (F.length(text) <= 15), text)
             .when((value_kind == "BIGINT") & exact_integer, text)
             .when(value_kind.startswith("DECIMAL") & (F.length(digits) <= 15), text)
             .otherwise(through_double)
         )
 
-    return let(kind(value), lambda k: let(value.try_cast("string"), lambda t: by_kind(k, t)))
+    def by_kind(value_kind: Column) -> Column:
+        text = value.try_cast("string")
+        return F.when(value_kind.isin("STRING", "BOOLEAN"), text).otherwise(
+            let(text, lambda t: number_text(value_kind, t))
+        )
+
+    return let(kind(value), by_kind)
 
 
 def _number_display(value: Column) -> Column:

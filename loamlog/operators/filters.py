@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamlog.functions.cursors import Cursor
-from loamlog.functions.timestamps import DAY, date_literal, literal
+from loamlog.functions.timestamps import DAY, literal, sql_date, sql_literal
 
 HOT_PREFIX = "attr__"
 
@@ -32,14 +32,15 @@ def apply(df: DataFrame, conditions: Iterable[Column]) -> DataFrame:
 
 def in_dates(df: DataFrame, since: int | None, until: int | None) -> list[Column]:
     """Partition predicate for a time range; Spark does not derive it from the time one."""
+    return [F.expr(text) for text in _date_bounds(df, since, until)]
+
+
+def _date_bounds(df: DataFrame, since: int | None, until: int | None) -> list[str]:
     if "log_date" not in df.columns:
         return []
-    bounds = []
-    if since is not None:
-        bounds.append(F.col("log_date") >= date_literal(since))
-    if until is not None:
-        bounds.append(F.col("log_date") <= date_literal(until - 1))
-    return bounds
+    lower = [] if since is None else [f"log_date >= {sql_date(since)}"]
+    upper = [] if until is None else [f"log_date <= {sql_date(until - 1)}"]
+    return lower + upper
 
 
 def in_time(
@@ -47,12 +48,13 @@ def in_time(
 ) -> list[Column]:
     """``since <= column < until``, together with the dates that can hold such rows."""
     dtype = df.schema[column].dataType
-    bounds = in_dates(df, since, until)
+    bounds = _date_bounds(df, since, until)
     if since is not None:
-        bounds.append(F.col(column) >= literal(since, dtype))
+        bounds.append(f"{column} >= {sql_literal(since, dtype)}")
     if until is not None:
-        bounds.append(F.col(column) < literal(until, dtype))
-    return bounds
+        bounds.append(f"{column} < {sql_literal(until, dtype)}")
+    # One text for all bounds: it is parsed in a single call.
+    return [F.expr(" AND ".join(bounds))] if bounds else []
 
 
 def in_any_range(df: DataFrame, ranges: Iterable[tuple[int, int]]) -> Column | None:

@@ -80,6 +80,12 @@ def _collected(page: DataFrame) -> list[Row]:
     return local.collect()
 
 
+def _as_double(digits: str) -> int:
+    """JSON numbers are doubles to clients; integers that fit exactly stay as they are."""
+    exact = int(digits)
+    return exact if abs(exact) <= 2**53 else int(float(digits))
+
+
 def page_of(rows: list[Row], limit: int) -> Page:
     """Cut the look-ahead row off; its presence is what makes a next page."""
     shown = rows[:limit]
@@ -89,7 +95,7 @@ def page_of(rows: list[Row], limit: int) -> Page:
         log = {k: v for k, v in row.asDict().items() if k != "micros"}
         log["id"] = str(log["id"])
         if "attributes" in log:
-            log["attributes"] = json.loads(log["attributes"])
+            log["attributes"] = json.loads(log["attributes"], parse_int=_as_double)
         logs.append(log)
     return Page(logs, None if last is None else cursors.encode(Cursor(last["micros"], last["id"])))
 

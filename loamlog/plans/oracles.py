@@ -237,6 +237,9 @@ SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95)
 FROM events GROUP BY event_type""",
         "stream_rollup": f"{WITH_LOGS} {_minutes()}",
         "store_logs": f"{_STORED} SELECT {_STORED_ROW} FROM s",
+        "store_search": f"""{WITH_LOGS}
+SELECT strftime(log_ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS "timestamp", service, message FROM (
+  SELECT * FROM l WHERE level = 'error' ORDER BY log_ts DESC, id DESC LIMIT 200)""",
         "store_filter": (
             f"{_STORED} SELECT {_STORED_ROW} FROM s WHERE {IN_RANGE} "
             "AND attr_user_id = '42' AND attr_active = 'false'"

@@ -362,6 +362,17 @@ def event_store(spark: SparkSession, sf_dir: str) -> LogStore:
     return store
 
 
+_READ_ONLY: dict[tuple[str, str], LogStore] = {}
+
+
+def _shared_store(spark: SparkSession, sf_dir: str) -> LogStore:
+    """One store per session and data folder for the queries that only read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _READ_ONLY:
+        _READ_ONLY[key] = event_store(spark, sf_dir)
+    return _READ_ONLY[key]
+
+
 def _plain(logs: DataFrame) -> DataFrame:
     """Comparable columns of stored rows; ids follow arrival and are left out."""
     return logs.select(
@@ -371,19 +382,27 @@ def _plain(logs: DataFrame) -> DataFrame:
 
 @_query()
 def store_logs(spark, sf_dir):
-    return _plain(event_store(spark, sf_dir).logs())
+    return _plain(_shared_store(spark, sf_dir).logs())
+
+
+@_query()
+def store_search(spark, sf_dir):
+    """The newest errors, as the page a client gets."""
+    page = _shared_store(spark, sf_dir).search(LogQuery(level="error", limit=200))
+    rows = [(log["timestamp"], log["service"], log["message"]) for log in page.logs]
+    return spark.createDataFrame(rows, "timestamp string, service string, message string")
 
 
 @_query()
 def store_filter(spark, sf_dir):
-    store = event_store(spark, sf_dir)
+    store = _shared_store(spark, sf_dir)
     query = LogQuery(since=SINCE, until=UNTIL, attributes={"user_id": "42", "active": "false"})
     return _plain(store.filter(query))
 
 
 @_query()
 def store_aggregate(spark, sf_dir):
-    counts = event_store(spark, sf_dir).aggregate(_range(group_by="service"))
+    counts = _shared_store(spark, sf_dir).aggregate(_range(group_by="service"))
     return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 

@@ -31,7 +31,7 @@ def spark(tmp_path_factory):
 
 
 def at(seconds: float) -> str:
-    """A time of the reference window, as ISO text with milliseconds."""
+    """A time of the test window, as ISO text with milliseconds."""
     return format_iso(BASE + round(seconds * 1_000_000))
 
 

@@ -72,8 +72,15 @@ def test_all_rejected_writes_nothing(spark, tmp_path):
 def test_attributes_keep_their_types(spark, tmp_path):
     given = {"s": "x", "n": 3, "f": 0.5, "t": True}
     store = stored(spark, tmp_path, log(attributes=given))
-    assert store.search(LogQuery()).logs[0]["attributes"] == given
-    types = store.logs().select(F.schema_of_variant("attributes")).first()[0]
+    page = store.search(LogQuery())
+    assert page.logs[0]["attributes"] == given
+    assert json.loads(page.to_json()) == {"logs": page.logs, "next_cursor": None}
+    big = log(timestamp=at(10_000), attributes={"n": 9007199254740993, "m": -(2**53)})
+    store.ingest(requests(spark, {"logs": [big]}), NOW)
+    newest = store.search(LogQuery(limit=1)).logs[0]
+    assert newest["attributes"] == {"n": 9007199254740992, "m": -(2**53)}
+    first = store.logs().where("id = 1")
+    types = first.select(F.schema_of_variant("attributes")).first()[0]
     assert types == "OBJECT<f: DECIMAL(1,1), n: BIGINT, s: STRING, t: BOOLEAN>"
 
 
