@@ -1,4 +1,4 @@
-"""The logs and their minute counts as Parquet folders, changed by one writer at a time.
+"""The logs and their minute counts as Parquet folders.
 
     logs/log_date=D/batch_id=N/       rows, one folder per UTC day and write
     rollup_1m/log_date=D/batch_id=N/  additive minute counts of the same write
@@ -6,8 +6,9 @@
     _state/                           one small JSON file per published change
 
 Every change is a new numbered write that becomes visible when its state file
-appears. Readers take writes up to the published number, so a job that dies half
-way leaves nothing visible and the next attempt clears its leftovers first.
+appears. Numbers are claimed and never used twice: one that was skipped, because its
+job died or lost against another writer, is void for good. Readers take the numbers
+up to the published one, so nothing half-written is ever visible.
 Deleting is metadata: a day's ``floor`` hides all of its earlier writes, and a
 ``cut`` hides the oldest rows of one day. Counts are corrected by adding negative
 rows, never by rewriting.
@@ -39,6 +40,7 @@ from loamlog.schema import LOGS, PLACEMENT, REJECTED, ROLLUP, IngestConfig, Rete
 from loamlog.session import configure
 
 _EPOCH = date(1970, 1, 1)
+_CLAIMS_KEPT = 1_000
 
 
 def _day(micros: int) -> date:
@@ -91,6 +93,7 @@ class State:
     last_batch: int = 0
     next_id: int = 1
     days: tuple[str, ...] = ()
+    void: tuple[int, ...] = ()
     streams: dict[str, int] = field(default_factory=dict)
     floors: dict[str, int] = field(default_factory=dict)
     cuts: tuple[Cut, ...] = ()
@@ -99,9 +102,14 @@ class State:
     def parse(cls, text: str) -> State:
         data = json.loads(text)
         data["cuts"] = tuple(Cut(**c) for c in data["cuts"])
-        data["days"] = tuple(data["days"])
+        data["days"], data["void"] = tuple(data["days"]), tuple(data["void"])
         return cls(**data)
 
+    def after(self, batch_id: int, **changes) -> State:
+        """The state once this write is published; numbers passed over are void."""
+        skipped = range(self.last_batch + 1, batch_id)
+        return replace(self, last_batch=batch_id, void=(*self.void, *skipped), **changes)
+
 
 @dataclass(frozen=True)
 class IngestResult:
@@ -175,11 +183,12 @@ class LogStore:
             self._fs.delete(stale.getPath(), False)
         return published
 
-    def _clear_leftovers(self, batch_id: int) -> None:
-        """Remove what an attempt that never published left under this number."""
-        for pattern in ("logs/log_date=*", "rollup_1m/log_date=*", "rejected"):
-            for found in self._glob(f"{pattern}/batch_id={batch_id}"):
-                self._fs.delete(found.getPath(), True)
+    def _claim(self, state: State) -> int:
+        """A write number of our own; the file system lets one creator win."""
+        batch_id = state.last_batch + 1
+        while not self._fs.createNewFile(self._path(f"_state/claims/{batch_id:012d}")):
+            batch_id += 1
+        return batch_id
 
     def vacuum(self) -> int:
         """Delete folders the current state hides; returns how many.
@@ -195,6 +204,14 @@ class LogStore:
                         removed += 1
                 if not self._glob(f"{table}/log_date={day}/batch_id=*"):
                     self._fs.delete(self._path(f"{table}/log_date={day}"), True)
+        for batch_id in state.void:
+            for table in ("logs/log_date=*", "rollup_1m/log_date=*", "rejected"):
+                for found in self._glob(f"{table}/batch_id={batch_id}"):
+                    self._fs.delete(found.getPath(), True)
+                    removed += 1
+        for claim in self._names("_state/claims/*"):
+            if int(claim) < state.last_batch - _CLAIMS_KEPT:
+                self._fs.delete(self._path(f"_state/claims/{claim}"), False)
         if state.floors:
             # Nothing is left below the floors, so they have no more to hide.
             self._publish(replace(state, floors={}))
@@ -219,9 +236,14 @@ class LogStore:
             and (until is None or _midnight(d) < until)
         ]
 
+    @staticmethod
+    def _published(state: State) -> Column:
+        shown = F.col("batch_id") <= state.last_batch
+        return shown & ~F.col("batch_id").isin(*state.void) if state.void else shown
+
     def _visible(self, state: State) -> Column:
         """Partition predicate: published, and not below its day's floor."""
-        shown = F.col("batch_id") <= state.last_batch
+        shown = self._published(state)
         if state.floors:
             pairs = [
                 F.lit(x) for day, n in state.floors.items() for x in (date.fromisoformat(day), n)
@@ -292,7 +314,7 @@ class LogStore:
         if not self._names("rejected/batch_id=*"):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/rejected")
-        return rows.where(F.col("batch_id") <= self.state().last_batch)
+        return rows.where(self._published(self.state()))
 
     # ---- queries -----------------------------------------------------------
 
@@ -376,7 +398,7 @@ class LogStore:
         state = self.state()
         if stream is not None and epoch is not None and state.streams.get(stream, -1) >= epoch:
             return IngestResult(None, 0, 0)
-        batch_id = state.last_batch + 1
+        batch_id = self._claim(state)
         checked = validate.check_requests(requests, to_micros(now), self.config)
         # Read several times below. Lost blocks are recomputed in the same order,
         # because the input splits of one batch are fixed.
@@ -392,7 +414,6 @@ class LogStore:
                 F.count_if(F.col("reason").isNull()).alias("accepted"),
                 F.count_if(F.col("reason").isNotNull()).alias("rejected"),
             ).first()
-            self._clear_leftovers(batch_id)
             day = F.to_date("timestamp")
             rows = keyed.withColumn("log_date", day)
             counts = minute_rollup(good.withColumn("log_date", day))
@@ -410,9 +431,8 @@ class LogStore:
         if stream is not None and epoch is not None:
             streams[stream] = epoch
         self._publish(
-            replace(
-                state,
-                last_batch=batch_id,
+            state.after(
+                batch_id,
                 next_id=state.next_id + sizes["accepted"],
                 days=tuple(sorted({*state.days, *self._days_of_batch(batch_id)})),
                 streams=streams,
@@ -476,33 +496,30 @@ class LogStore:
         days = self.dates(state=state)
         whole = [d for d in days if d < edge]
         partly = [d for d in days if d == edge]
-        batch_id = state.last_batch + 1
-        self._clear_leftovers(batch_id)
-
         gone = retention.deleted_rows(self._not_yet_cut(state, partly), boundary)
         removed = minute_rollup(gone).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             stored = merge_rollups(self.rollup_deltas(state=state, days=partly)).drop("log_date")
             totals = retention.totals_of(stored, removed.drop("log_date")).first().asDict()
-            if totals["deleted_count"]:
-                self._write_rollup(negated(removed), batch_id)
+            if whole:
+                dropped = merge_rollups(self.rollup_deltas(state=state, days=whole))
+                days_gone = dropped.agg(
+                    F.sum("log_count").alias("rows"), F.count(F.lit(1)).alias("keys")
+                ).first()
+                totals["deleted_count"] += days_gone["rows"] or 0
+                totals["rollup_rows_removed"] += days_gone["keys"]
+            if not totals["deleted_count"]:
+                return nothing
+            batch_id = self._claim(state)
+            self._write_rollup(negated(removed), batch_id)
         finally:
             removed.unpersist()
-        if whole:
-            dropped = merge_rollups(self.rollup_deltas(state=state, days=whole))
-            sums = dropped.agg(F.sum("log_count").alias("rows"), F.count(F.lit(1)).alias("keys"))
-            row = sums.first()
-            totals["deleted_count"] += row["rows"] or 0
-            totals["rollup_rows_removed"] += row["keys"]
-        if not totals["deleted_count"]:
-            return nothing
 
         cut = Cut(edge.isoformat(), batch_id, boundary.micros, boundary.last_id)
         hidden = {d.isoformat() for d in whole}
         self._publish(
-            replace(
-                state,
-                last_batch=batch_id,
+            state.after(
+                batch_id,
                 days=tuple(d for d in state.days if d not in hidden),
                 floors={**state.floors, **{d: batch_id for d in hidden}},
                 cuts=(
@@ -553,10 +570,9 @@ class LogStore:
         """
         state = self.state()
         days = [d for d in self.dates(state=state) if d in set(days)]
-        batch_id = state.last_batch + 1
         if not days:
             return state.last_batch
-        self._clear_leftovers(batch_id)
+        batch_id = self._claim(state)
         rows = self.logs(state=state, days=days)
         stale = [c for c in rows.columns if c.startswith(HOT_PREFIX)]
         rows = rows.drop(*stale)
@@ -570,15 +586,25 @@ class LogStore:
         )
         rewritten = {d.isoformat() for d in days}
         self._publish(
-            replace(
-                state,
-                last_batch=batch_id,
+            state.after(
+                batch_id,
                 floors={**state.floors, **{d: batch_id for d in rewritten}},
                 cuts=tuple(c for c in state.cuts if c.day not in rewritten),
             )
         )
         return batch_id
 
+    def crowded_days(self, before: int, folders: int) -> list[date]:
+        """Days that have ended and still consist of more than so many writes."""
+        state = self.state()
+        crowded = []
+        for day in self.dates(until=_midnight(_day(before)), state=state):
+            floor = state.floors.get(day.isoformat(), 0)
+            writes = self._names(f"logs/log_date={day.isoformat()}/batch_id=*")
+            if sum(int(w.removeprefix("batch_id=")) >= floor for w in writes) > folders:
+                crowded.append(day)
+        return crowded
+
     def compact(self, days: Sequence[date] | None = None) -> int:
         return self.rewrite(self.dates() if days is None else days)
 

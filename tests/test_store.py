@@ -105,19 +105,32 @@ def test_unpublished_write_stays_invisible(spark, tmp_path, monkeypatch):
         with pytest.raises(RuntimeError):
             store.ingest(requests(spark, {"logs": [log(timestamp=at(-DAY / 1e6))]}), NOW)
     assert _ids(store) == [1]
-    # The next write takes the same number and must not revive the lost rows.
+    # The next write must not revive the lost rows.
     store.ingest(requests(spark, {"logs": [log(message="next")]}), NOW)
     rows = store.logs().orderBy("id").select("id", "message").collect()
     assert [tuple(r) for r in rows] == [(1, "kept"), (2, "next")]
+    assert store.state().void == (2,) and store.state().last_batch == 3
+    _assert_exact(store)
+    assert store.vacuum() > 0
+    assert _ids(store) == [1, 2]
     _assert_exact(store)
 
 
-def test_second_writer_is_refused(spark, tmp_path):
-    store = stored(spark, tmp_path, log())
-    stale = store.state()
-    store.ingest(requests(spark, {"logs": [log()]}), NOW)
-    with pytest.raises(RuntimeError):
-        store._publish(stale)
+def test_second_writer_is_refused(spark, tmp_path, monkeypatch):
+    store = stored(spark, tmp_path, log(message="a"))
+    other = LogStore(spark, store.root)
+    stale = other.state()
+    store.ingest(requests(spark, {"logs": [log(message="b")]}), NOW)
+    with monkeypatch.context() as patch:
+        patch.setattr(other, "state", lambda: stale)
+        with pytest.raises(RuntimeError):
+            other.ingest(requests(spark, {"logs": [log(message="lost"), 1]}), NOW)
+    assert _ids(other) == [1, 2]
+    other.ingest(requests(spark, {"logs": [log(message="c")]}), NOW)
+    rows = store.logs().orderBy("id").select("message").collect()
+    assert [r["message"] for r in rows] == ["a", "b", "c"]
+    assert store.rejected().count() == 0
+    _assert_exact(store)
 
 
 @pytest.mark.parametrize("batch_size, max_batches", [(None, 20), (7, 5), (40, 100), (1, 1)])
@@ -272,6 +285,37 @@ def test_retention_rides_on_the_stream(spark, tmp_path):
     _assert_exact(store)
 
 
+def test_compaction_rides_on_the_stream(spark, tmp_path):
+    folder = tmp_path / "requests"
+    folder.mkdir()
+    store = LogStore(spark, f"{tmp_path}/store", IngestConfig(max_files_per_trigger=1))
+    for k in range(4):
+        entries = [log(timestamp=format_iso(NOW - DAY)), log(timestamp=format_iso(NOW))]
+        (folder / f"{k}.json").write_text(json.dumps({"logs": entries}) + "\n")
+    times = iter(range(NOW, NOW + 1000 * DAY, 20 * MINUTE))
+    ingest_stream(
+        store, str(folder), f"{tmp_path}/progress", drain=True, clock=lambda: next(times),
+        retention=RetentionConfig(), compact_above=2,
+    ).awaitTermination()
+    assert len(_ids(store)) == 8
+    assert list(store.state().floors) == [format_iso(NOW - DAY)[:10]]
+    assert store.crowded_days(NOW, 2) == []
+    _assert_exact(store)
+
+
+def test_counts_of_a_stream(spark, tmp_path):
+    """The bucket functions work on an unbounded frame as they do on a table."""
+    rows = [(i, BASE + i * 20_000_000, "s", "info") for i in range(10)]
+    logs = spark.createDataFrame(rows, "id long, us long, service string, level string")
+    logs = logs.withColumn("timestamp", F.timestamp_micros("us"))
+    logs.write.parquet(f"{tmp_path}/logs")
+    stream = spark.readStream.schema(logs.schema).parquet(f"{tmp_path}/logs")
+    counts = minute_rollup(stream).writeStream.outputMode("complete").format("memory")
+    counts.queryName("stream_counts").trigger(availableNow=True).start().awaitTermination()
+    found = sorted(map(tuple, spark.table("stream_counts").collect()))
+    assert found == sorted(map(tuple, minute_rollup(logs).collect()))
+
+
 def test_stored_rows_respect_the_domains(spark, tmp_path):
     entries = [log(), log(level="x"), log(service=""), log(message=""), 7, *_spread(20, seed=1)]
     logs = stored(spark, tmp_path, *entries).logs()
