@@ -118,8 +118,15 @@ class LogQuery(_Filters):
 
 
 def _whole_number(text: Any) -> int:
-    if isinstance(text, str) and re.fullmatch(r"\s*\+?[0-9]+(\.0*)?\s*", text, re.ASCII):
-        return int(float(text))
+    """Any spelling of a whole number that clients' own number parsing takes."""
+    if isinstance(text, str):
+        digits = text.strip()
+        if re.fullmatch(r"0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+", digits):
+            return int(digits, 0)
+        if re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", digits):
+            number = float(digits)
+            if number.is_integer():
+                return int(number)
     raise ValueError(f"limit must be an integer between 1 and {MAX_LIMIT}")
 
 

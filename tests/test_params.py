@@ -44,7 +44,7 @@ def test_cursor_argument():
         {"since": "not-a-date"},
         {"since": 5},
         {"since": RANGE["until"], "until": RANGE["since"]},
-        *[{"limit": v} for v in ("0", "1001", "-5", "1.5", "abc", "", 5)],
+        *[{"limit": v} for v in ("0", "1001", "-5", "1.5", "abc", "", 5, "1e9", "1e999", "0x", "1_0")],
         {"cursor": "not-a-real-cursor!!"},
         {"cursor": 1},
     ],
@@ -59,6 +59,11 @@ def test_limit_bounds(limit):
     assert LogQuery.from_params({"limit": str(limit)}).limit == limit
 
 
+@pytest.mark.parametrize("text, limit", [(" 7 ", 7), ("1e2", 100), ("5.0", 5), ("0x10", 16), ("+3", 3)])
+def test_limit_spellings(text, limit):
+    assert LogQuery.from_params({"limit": text}).limit == limit
+
+
 def test_aggregate_arguments():
     query = AggregateQuery.from_params({**RANGE, "bucket": "5m", "group_by": "level"})
     assert query.bucket == "5m" and query.group_by == "level" and query.countable
