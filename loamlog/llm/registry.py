@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.llm import decontaminate
+from loamlog.llm import decontaminate, simhash
 from loamlog.llm.common import read_table
 from loamlog.session import configure
 
@@ -42,3 +42,10 @@ def op4_decontamination(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@_query
+def op9_simhash(spark, sf_dir):
+    """Fingerprint and group of every document: four-word shingles, four bits."""
+    documents = read_table(spark, sf_dir, "documents")
+    return simhash.near_duplicates(documents, words=4, radius=4, columns=["doc_id"])
