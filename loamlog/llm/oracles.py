@@ -34,5 +34,51 @@ FROM doc_words d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP5 = r"""
+WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS ln FROM documents WHERE text IS NOT NULL),
+windows AS (
+  SELECT doc_id, s, array_to_string(ln[s:s + 2], chr(10)) AS win
+  FROM (SELECT doc_id, ln, unnest(range(1, len(ln) - 1)) AS s FROM lines WHERE len(ln) >= 3)),
+ranked AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS rank
+  FROM windows WHERE regexp_matches(win, '[^ \t\r\n]')),
+gone AS (
+  SELECT DISTINCT doc_id, unnest([s, s + 1, s + 2]) AS place FROM ranked WHERE rank > 1),
+places AS (SELECT doc_id, unnest(range(1, len(ln) + 1)) AS place, unnest(ln) AS line FROM lines),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS text, count(*) AS n
+  FROM places ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN l.ln IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+       CAST(coalesce(len(l.ln), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(l.ln), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN lines l USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP6 = """
+WITH rules(verdict, host, path) AS (VALUES
+  ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r
+  FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest),
+fits AS (
+  SELECT p.page_id, r.host || r.path AS rule, r.verdict,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC) AS rank
+  FROM parts p JOIN rules r
+  ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.rank = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4}
+    return {
+        "op4_decontamination": OP4,
+        "op5_line_dedup": OP5,
+        "op6_url_filter": OP6,
+    }

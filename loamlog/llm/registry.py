@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.llm import decontaminate, simhash
+from loamlog.llm import decontaminate, linededup, simhash, urlfilter
 from loamlog.llm.common import read_table
 from loamlog.session import configure
 
@@ -49,3 +49,27 @@ def op9_simhash(spark, sf_dir):
     """Fingerprint and group of every document: four-word shingles, four bits."""
     documents = read_table(spark, sf_dir, "documents")
     return simhash.near_duplicates(documents, words=4, radius=4, columns=["doc_id"])
+
+
+@_query
+def op5_line_dedup(spark, sf_dir):
+    """Every document without the lines of windows that occurred before."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(documents)
+
+
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+@_query
+def op6_url_filter(spark, sf_dir):
+    """Verdict on every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge_urls(pages, rules).drop("url")
