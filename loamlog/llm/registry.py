@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.llm import decontaminate, linededup, simhash, urlfilter
+from loamlog.llm import covertree, decontaminate, linededup, simhash, urlfilter
 from loamlog.llm.common import read_table
 from loamlog.session import configure
 
@@ -73,3 +73,10 @@ def op6_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge_urls(pages, rules).drop("url")
+
+
+@_query
+def op8_cover_tree(spark, sf_dir):
+    """Links and group of every vector at cosine 0.93 within its label."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return covertree.near_vectors(vectors, cosine=0.93).drop("embedding", "label")
