@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.llm import covertree, decontaminate, linededup, simhash, urlfilter
+from loamlog.llm import covertree, decontaminate, linededup, sharding, simhash, urlfilter
 from loamlog.llm.common import read_table
 from loamlog.session import configure
 
@@ -80,3 +80,10 @@ def op8_cover_tree(spark, sf_dir):
     """Links and group of every vector at cosine 0.93 within its label."""
     vectors = read_table(spark, sf_dir, "embeddings")
     return covertree.near_vectors(vectors, cosine=0.93).drop("embedding", "label")
+
+
+@_query
+def op10_sharding(spark, sf_dir):
+    """Shard and slot of every document, sixteen shards, counts at most one apart."""
+    placed = sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
+    return placed.drop("group").withColumn("grown_shard", F.lit(None).cast("int"))
