@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.llm import covertree, decontaminate, linededup, sharding, simhash, urlfilter
-from loamlog.llm.common import read_table
+from loamlog.llm import covertree, decontaminate, linededup, quality, sharding, simhash, urlfilter
+from loamlog.llm.common import in_fold, read_table
 from loamlog.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,20 @@ def op10_sharding(spark, sf_dir):
     """Shard and slot of every document, sixteen shards, counts at most one apart."""
     placed = sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
     return placed.drop("group").withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def _learnable(doc_id):
+    return ~in_fold(doc_id, 5)
+
+
+@_query
+def op2_quality(spark, sf_dir):
+    """Quality score of every document, learned from the labels outside the held-out fold."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_sample(documents, read_table(spark, sf_dir, "labels"), _learnable)
+    return quality.score_documents(documents, model).select(
+        "doc_id",
+        in_fold(F.col("doc_id"), 5).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
