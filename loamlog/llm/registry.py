@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.llm import covertree, decontaminate, linededup, quality, sharding, simhash, urlfilter
+from loamlog.llm import (
+    covertree,
+    decontaminate,
+    idfiles,
+    linededup,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    urlfilter,
+)
 from loamlog.llm.common import in_fold, read_table
-from loamlog.session import configure
+from loamlog.session import configure, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,3 +115,21 @@ def op2_quality(spark, sf_dir):
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@_query
+def op3_packing(spark, sf_dir):
+    """Pieces of all documents in sequences of 1024 ids."""
+    documents = read_table(spark, sf_dir, "documents")
+    pieces = packing.pack_documents(documents, public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@_query
+def op7_id_files(spark, sf_dir):
+    """Ids of all documents, written as bit-packed files and read back."""
+    path = scratch_path(spark, "ids")
+    documents = read_table(spark, sf_dir, "documents")
+    idfiles.write_ids(documents, path, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    found = idfiles.documents_of(idfiles.read_blocks(spark, path))
+    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
