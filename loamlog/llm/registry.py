@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loamlog.llm import (
     covertree,
     decontaminate,
+    hpylm,
     idfiles,
     linededup,
     packing,
@@ -133,3 +134,10 @@ def op7_id_files(spark, sf_dir):
     idfiles.write_ids(documents, path, public_tokenizers.path("word_bpe_49k.json"), end=1)
     found = idfiles.documents_of(idfiles.read_blocks(spark, path))
     return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@_query
+def op1_hpylm(spark, sf_dir):
+    """Base and model scores of every document, a tenth of them held out."""
+    documents = read_table(spark, sf_dir, "documents")
+    return hpylm.score_documents(documents, in_fold(F.col("doc_id"), 10))
