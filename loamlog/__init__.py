@@ -8,7 +8,7 @@ from loamlog.plans.params import AggregateQuery, LogQuery
 from loamlog.schema import IngestConfig, RetentionConfig
 from loamlog.session import configure
 from loamlog.sources.store import LogStore
-from loamlog.streaming.ingest import ingest_stream
+from loamlog.streaming.ingest import ingest_stream, maintenance_stream
 
 __all__ = [
     "AggregateQuery",
@@ -22,6 +22,7 @@ __all__ = [
     "filter_logs",
     "ingest_report",
     "ingest_stream",
+    "maintenance_stream",
     "paginate",
     "retain",
     "search",

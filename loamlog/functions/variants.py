@@ -35,8 +35,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _shortest(number: Column) -> Column:
     """Shortest ``d.ddde±x`` text that reads back as the same double."""
-    attempts = [F.format_string(f"%.{digits}e", number) for digits in range(17)]
-    return F.coalesce(*[F.when(a.try_cast("double") == number, a) for a in attempts])
+    # Every double of at most 15 digits reads back from them, so trailing zeros can go; below
+    # the smallest normal double fewer digits are significant and each length is tried.
+    attempts = [F.format_string(f"%.{digits}e", number) for digits in (14, 15, 16)]
+    found = F.coalesce(*[F.when(a.try_cast("double") == number, a) for a in attempts])
+    short = [F.format_string(f"%.{digits}e", number) for digits in range(17)]
+    tiny = F.coalesce(*[F.when(a.try_cast("double") == number, a) for a in short])
+    trimmed = F.regexp_replace(F.regexp_replace(found, r"0+e", "e"), r"\.e", "e")
+    return F.when(number < 2.2250738585072014e-308, tiny).otherwise(trimmed)
 
 
 def _written_out(number: Column, style: Callable[[Column, Column, Column], Column]) -> Column:
@@ -135,19 +141,34 @@ def _display_scalar(value: Column, value_kind: Column) -> Column:
     )
 
 
+#: Lists within lists that are written out; a deeper list shows as its JSON.
+_NESTED_LISTS = 3
+
+
+def _display_item(item: Column, depth: int) -> Column:
+    """An item of a list: null is empty, a list joins its own items."""
+    return let(
+        kind(item),
+        lambda name: F.when(F.is_variant_null(item), F.lit(""))
+        .when(name.startswith("ARRAY"), _display_list(item, depth))
+        .otherwise(_display_scalar(item, name)),
+    )
+
+
+def _display_list(value: Column, depth: int) -> Column:
+    if depth == 0:
+        return F.to_json(value)
+    items = value.try_cast("array<variant>")
+    return F.array_join(F.transform(items, lambda item: _display_item(item, depth - 1)), ",")
+
+
 def display_text(value: Column) -> Column:
     """Any JSON value inside a message: missing is ``undefined``, lists join with commas."""
     value_kind = kind(value)
-    items = F.transform(
-        value.try_cast("array<variant>"),
-        lambda item: F.when(F.is_variant_null(item), F.lit("")).otherwise(
-            _display_scalar(item, kind(item))
-        ),
-    )
     return (
         F.when(value.isNull(), F.lit("undefined"))
         .when(F.is_variant_null(value), F.lit("null"))
-        .when(value_kind.startswith("ARRAY"), F.array_join(items, ","))
+        .when(value_kind.startswith("ARRAY"), _display_list(value, _NESTED_LISTS))
         .otherwise(_display_scalar(value, value_kind))
     )
 

@@ -39,23 +39,34 @@ def expired(logs: DataFrame, before: int) -> DataFrame:
     return filters.apply(logs, filters.in_time(logs, None, before))
 
 
-def find_boundary(logs: DataFrame, before: int, max_rows: int | None) -> Boundary:
+def find_boundary(
+    logs: DataFrame, before: int, max_rows: int | None, minutes: DataFrame | None = None
+) -> Boundary:
     """Where deletion stops: the cutoff, or the ``max_rows``-th oldest row if that comes first.
 
     Deleted rows are a prefix of the (timestamp, id) order, so one position says it
     all and no list of rows is needed. It is narrowed by counting days, then the
-    minutes of one day; only the minute it falls into is ordered row by row.
+    minutes of one day, in the minute counts (``minutes``) or else in the rows; only the rows of
+    the minute it falls into are read for certain, and ordered.
     """
     if max_rows is None:
         return Boundary(before)
     old = expired(logs, before)
+    # The cutoff's own minute counts in full; if the end falls into it, its rows decide.
+    counted = None
+    if minutes is not None:
+        bounds = filters.in_time(minutes, None, before, column="bucket_start")
+        counted = filters.apply(minutes, bounds)
     micros = F.unix_micros(F.col("timestamp").cast(T.TimestampType()))
     within, start, end = max_rows, None, before
     for width, bucket in ((DAY, "1d"), (MINUTE, "1m")):
-        scope = filters.apply(old, filters.in_time(old, start, end))
-        counts = scope.groupBy(bucket_start(F.col("timestamp"), bucket).alias("b")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
+        if counted is None:
+            scope = filters.apply(old, filters.in_time(old, start, end))
+            at, size = F.col("timestamp"), F.count(F.lit(1))
+        else:
+            scope = filters.apply(counted, filters.in_time(counted, start, end, column="bucket_start"))
+            at, size = F.col("bucket_start"), F.sum("log_count")
+        counts = scope.groupBy(bucket_start(at, bucket).alias("b")).agg(size.alias("n"))
         start, skipped = nth_bucket(
             counts.select(F.unix_micros(F.col("b").cast(T.TimestampType())).alias("bucket"), "n"),
             within,
@@ -67,7 +78,7 @@ def find_boundary(logs: DataFrame, before: int, max_rows: int | None) -> Boundar
     minute = filters.apply(old, filters.in_time(old, start, end)).select("timestamp", "id")
     ranked = assign_ids(minute, [F.col("timestamp").asc(), F.col("id").asc()], name="rank")
     last = ranked.where(F.col("rank") == within).select(micros.alias("at"), "id").first()
-    return Boundary(last["at"], last["id"])
+    return Boundary(before) if last is None else Boundary(last["at"], last["id"])
 
 
 def deleted_rows(logs: DataFrame, boundary: Boundary) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ ALL_REJECTED = "all log entries were rejected"
 ENTRY_NOT_AN_OBJECT = "log entry must be an object"
 TIMESTAMP_MISSING = "timestamp is required and must be a string"
 TIMESTAMP_INVALID = "timestamp must be a valid ISO 8601 timestamp"
+TIMESTAMP_TOO_OLD = "timestamp must not be before the year 1"
 TIMESTAMP_FUTURE = "timestamp must not be more than five minutes in the future"
 SERVICE_EMPTY = "service must be a non-empty string"
 MESSAGE_EMPTY = "message must be a non-empty string"
@@ -31,6 +33,8 @@ ATTRIBUTE_NOT_FINITE = "attribute number values must be finite"
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _FUTURE_ALLOWED = 5 * MINUTE
+# Drawn per process: a body cannot know it, so a body that closes the list itself is found out.
+_END_MARK = uuid.uuid4().hex
 
 
 def too_many_logs(config: IngestConfig) -> str:
@@ -41,13 +45,14 @@ def parse_requests(requests: DataFrame, config: IngestConfig) -> DataFrame:
     """Adds ``entries`` (the logs array) and ``batch_reason`` where the envelope is at fault.
 
     The entries are parsed one by one. Cut out of one big document, each would carry
-    the key list of all the others. The brackets make anything after the document an
-    error too.
+    the key list of all the others. The body stands in a list in front of an end mark; a
+    body with anything after its document makes the list longer or loses the mark.
     """
-    bracketed = F.concat(F.lit("["), F.col("body"), F.lit("]"))
-    documents = F.from_json(bracketed, "array<struct<logs:array<variant>>>", _STRICT)
+    bracketed = F.concat(F.lit("["), F.col("body"), F.lit(f',{{"end":"{_END_MARK}"}}]'))
+    documents = F.from_json(bracketed, "array<struct<logs:array<variant>,end:string>>", _STRICT)
+    alone = (F.size("_documents") == 2) & (F.col("_documents")[1]["end"] == _END_MARK)
     parsed = requests.withColumn("_documents", documents).withColumn(
-        "entries", F.when(F.size("_documents") == 1, F.col("_documents")[0]["logs"])
+        "entries", F.when(alone, F.col("_documents")[0]["logs"])
     )
     reason = (
         F.when(F.col("entries").isNull(), _envelope_fault(F.try_parse_json(bracketed)))
@@ -65,7 +70,8 @@ def parse_requests(requests: DataFrame, config: IngestConfig) -> DataFrame:
 
 def _envelope_fault(documents: Column) -> Column:
     """Why there are no entries; looked into for such requests only."""
-    alone = F.size(documents.try_cast("array<variant>")) == 1
+    marked = F.try_variant_get(documents, "$[1].end", "string") == _END_MARK
+    alone = (F.size(documents.try_cast("array<variant>")) == 2) & F.coalesce(marked, F.lit(False))
     return (
         F.when(documents.isNull() | ~alone, MALFORMED)
         .when(~_is_object(F.try_variant_get(documents, "$[0]", "variant")), NOT_AN_OBJECT)
@@ -148,6 +154,8 @@ def _outcome(config: IngestConfig) -> Column:
         (F.col("_timestamp_text").isNull() & ~_is_object(F.col("entry")), ENTRY_NOT_AN_OBJECT),
         (F.col("_timestamp_text").isNull(), TIMESTAMP_MISSING),
         (F.col("_time").isNull(), TIMESTAMP_INVALID),
+        # Days are SQL dates and those begin with the year 1.
+        (F.col("_time") < F.lit("0001-01-01T00:00:00Z").cast("timestamp"), TIMESTAMP_TOO_OLD),
         (F.col("_time") > F.col("_latest"), TIMESTAMP_FUTURE),
         (
             level.isNull() | ~level.isin(*LEVELS),
@@ -161,6 +169,7 @@ def _outcome(config: IngestConfig) -> Column:
         reason = reason.when(failed, text)
     return F.struct(
         reason.otherwise(_attribute_fault(config)).alias("reason"),
+        F.col("entry"),
         F.col("_time").alias("timestamp"),
         level.alias("level"),
         F.col("_service_text").alias("service"),
@@ -196,7 +205,7 @@ def _opening() -> tuple[list[Column], list[Column], list[Column]]:
 
 
 def validate_entries(entries: DataFrame, now: int, config: IngestConfig) -> DataFrame:
-    """Adds ``reason`` (NULL for a valid entry) and the entry's five fields.
+    """Adds ``reason`` (NULL for a valid entry), the ``entry`` and its five fields.
 
     ``now`` is fixed for the whole run, in epoch microseconds. The first failing
     rule wins.
@@ -208,7 +217,8 @@ def validate_entries(entries: DataFrame, now: int, config: IngestConfig) -> Data
     opened = opened.withColumn("_latest", F.timestamp_micros(F.lit(now + _FUTURE_ALLOWED)))
     # A generator rather than plain columns: a later filter on the reason would be
     # pushed down otherwise, and the whole rule chain be evaluated once more for it.
-    return opened.select(*kept, F.inline(F.array(_outcome(config))))
+    checked = opened.select(*kept, F.inline(F.array(_outcome(config))))
+    return checked.withColumn("entry", F.when(F.col("reason").isNotNull(), F.col("entry")))
 
 
 def check_requests(
@@ -224,7 +234,7 @@ def check_requests(
 
 def accepted(checked: DataFrame) -> DataFrame:
     """Valid entries as stored: the five fields, and every attribute as text."""
-    extra = [c for c in checked.columns if c in ("request_id", "index")]
+    extra = [c for c in checked.columns if c in ("request_id", "index", "arrival")]
     return checked.where(F.col("reason").isNull()).select(
         *extra,
         "timestamp",
@@ -237,12 +247,14 @@ def accepted(checked: DataFrame) -> DataFrame:
 
 
 def rejected(checked: DataFrame) -> DataFrame:
-    """Dead letters: what was refused and why.
+    """Dead letters: what was refused and why, so that it can be read and sent again.
 
-    A NULL index means the whole request, whose body is kept with it.
+    A refused entry is kept as JSON. A NULL index means the whole request, whose body is kept
+    with it. ``arrival`` says where it came from, if that is known.
     """
+    extra = [c for c in checked.columns if c == "arrival"]
     return checked.where(F.col("reason").isNotNull()).select(
-        "request_id", "index", "reason", "body"
+        "request_id", "index", "reason", "body", F.to_json("entry").alias("entry"), *extra
     )
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from loamlog.operators import validate
-from loamlog.schema import IngestConfig
-
 # The events table as logs.
 LOGS = """
   SELECT event_id + 1 AS id, ts AS log_ts,
@@ -54,42 +51,59 @@ def _minutes(where: str = "true", logs: str = "l") -> str:
 
 # ---- ingest ----------------------------------------------------------------
 
-_CONFIG = IngestConfig()
+# The reasons clients get, with the limits in them.
+_TOO_MANY = "logs array must contain at most 10000 entries"
+_NO_LOGS = "request body must contain a logs array"
+_NOT_AN_OBJECT = "request body must be an object"
+_MALFORMED = "malformed JSON"
+_ALL_REJECTED = "all log entries were rejected"
+_FLAT = "attributes must be a flat object containing only string, number, or boolean values"
 _ENTRIES = f"""
   l AS ({LOGS}),
   requests AS (
-    SELECT *, level = 'warn' AND value < 5 AS broken, level = 'error' AND value < 5 AS all_bad
+    SELECT *, level = 'error' AND value < 5 AS all_bad, level = 'info' AND value < 5 AS bare,
+      CASE WHEN id % 2500 = 7 THEN '{_TOO_MANY}'
+           WHEN level = 'warn' AND value < 5 THEN '{_NO_LOGS}'
+           WHEN level = 'debug' AND value < 3 THEN '{_MALFORMED}'
+           WHEN level = 'debug' AND value < 4 THEN '{_NOT_AN_OBJECT}'
+           WHEN level = 'debug' AND value < 5 THEN '{_MALFORMED}' END AS envelope
     FROM l
   ),
   listed AS (
     SELECT *, [x FOR x IN [
       CASE WHEN NOT all_bad THEN 'ok' END,
-      '{validate.TIMESTAMP_MISSING}',
-      '{validate.TIMESTAMP_MISSING}',
-      '{validate.TIMESTAMP_INVALID}',
-      '{validate.TIMESTAMP_FUTURE}',
+      'timestamp is required and must be a string',
+      'timestamp is required and must be a string',
+      'timestamp must be a valid ISO 8601 timestamp',
+      'timestamp must not be more than five minutes in the future',
       concat('invalid level: ''', upper(level), ''''),
-      '{validate.SERVICE_EMPTY}',
-      'service must be at most {_CONFIG.max_service_length} characters',
-      '{validate.MESSAGE_EMPTY}',
-      '{validate.ATTRIBUTES_NOT_FLAT}',
-      '{validate.ATTRIBUTES_NOT_FLAT}',
-      '{validate.ATTRIBUTE_KEY_EMPTY}',
-      '{validate.ENTRY_NOT_AN_OBJECT}',
-      CASE WHEN level = 'debug'
-           THEN 'message must be at most {_CONFIG.max_message_length} characters' END
+      'service must be a non-empty string',
+      'service must be at most 256 characters',
+      'message must be a non-empty string',
+      '{_FLAT}',
+      '{_FLAT}',
+      'attribute keys must be non-empty strings',
+      'log entry must be an object',
+      CASE WHEN level = 'debug' THEN 'message must be at most 8192 characters' END,
+      'timestamp must not be before the year 1',
+      'timestamp must not be before the year 1',
+      'attributes must contain at most 50 keys',
+      'attribute keys must be at most 128 characters',
+      'attribute number values must be finite',
+      'attribute string values must be at most 4096 characters',
+      concat('invalid level: ''', level, ',1,,2''')
     ] IF x IS NOT NULL] AS outcomes
     FROM requests
   ),
   entries AS (
     SELECT id, log_ts, level, service, message, CAST(NULL AS INTEGER) AS idx,
-           '{validate.NO_LOGS}' AS outcome, attr_k, attr_user_id, attr_active, value
-    FROM listed WHERE broken
+           envelope AS outcome, attr_k, attr_user_id, attr_active, value, bare
+    FROM listed WHERE envelope IS NOT NULL
     UNION ALL
     SELECT id, log_ts, level, service, message,
            CAST(unnest(range(len(outcomes))) AS INTEGER) AS idx,
-           unnest(outcomes) AS outcome, attr_k, attr_user_id, attr_active, value
-    FROM listed WHERE NOT broken
+           unnest(outcomes) AS outcome, attr_k, attr_user_id, attr_active, value, bare
+    FROM listed WHERE envelope IS NULL
   )
 """
 _VALIDATE = f"""
@@ -102,23 +116,37 @@ SELECT id AS request_id, idx AS "index",
   CASE WHEN outcome = 'ok' THEN message END AS message
 FROM entries
 """
-_REPORT = f"""
-WITH {_ENTRIES}
-SELECT id AS request_id,
+_REPORT_ROW = f"""
   count(*) FILTER (outcome = 'ok') AS accepted,
   coalesce(string_agg(concat(idx, ':', outcome), '|' ORDER BY idx)
            FILTER (outcome <> 'ok' AND idx IS NOT NULL), '') AS rejected,
   CASE WHEN max(idx) IS NULL THEN max(outcome)
-       WHEN count(*) FILTER (outcome = 'ok') = 0 THEN '{validate.ALL_REJECTED}' END AS error
-FROM entries GROUP BY id
+       WHEN count(*) FILTER (outcome = 'ok') = 0 THEN '{_ALL_REJECTED}' END AS error
 """
+_REPORT = f"WITH {_ENTRIES} SELECT id AS request_id, {_REPORT_ROW} FROM entries GROUP BY id"
+_STREAM_REPORT = f"WITH {_ENTRIES} SELECT {_REPORT_ROW} FROM entries GROUP BY id"
 _DEAD = f"""
-WITH {_ENTRIES}
-SELECT outcome AS reason, count(*) AS n, count(*) FILTER (idx IS NULL) AS bodies
-FROM entries WHERE outcome <> 'ok' GROUP BY 1
+WITH {_ENTRIES}, refused AS (
+  SELECT *, outcome = 'log entry must be an object' OR idx IS NULL AS no_object
+  FROM entries WHERE outcome <> 'ok')
+SELECT id AS request_id, idx AS "index", outcome AS reason,
+  CAST(CASE WHEN no_object THEN NULL
+       WHEN outcome = 'message must be a non-empty string' THEN length(attr_user_id)
+       WHEN outcome = 'message must be at most 8192 characters' THEN 320 * length(message)
+       ELSE length(message) END AS INTEGER) AS message_length,
+  CASE WHEN no_object THEN NULL
+       WHEN outcome = concat('invalid level: ''', upper(level), '''') THEN upper(level)
+       WHEN outcome LIKE 'invalid level%' THEN concat('[["', level, '"],[1,[null,2]]]')
+       ELSE level END AS its_level,
+  CASE WHEN no_object THEN NULL
+       WHEN outcome = 'service must be a non-empty string' THEN ''
+       WHEN outcome = 'service must be at most 256 characters' THEN repeat(service, 65)
+       ELSE service END AS its_service,
+  idx IS NULL AS has_body
+FROM refused
 """
 _TEXTS = f"""
-WITH {_ENTRIES}, good AS (SELECT * FROM entries WHERE outcome = 'ok')
+WITH {_ENTRIES}, good AS (SELECT * FROM entries WHERE outcome = 'ok' AND NOT bare)
 SELECT id AS request_id, 'k' AS key, attr_k AS value FROM good
 UNION ALL SELECT id, 'user_id', attr_user_id FROM good
 UNION ALL SELECT id, 'active', attr_active FROM good
@@ -254,7 +282,17 @@ SELECT strftime(log_ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS "timestamp", service, messag
         "store_compaction": f"{_STORED} SELECT {_STORED_ROW} FROM s WHERE log_ts >= {CUTOFF}",
         "stream_ingest": f"""{_STORED}
 SELECT {_bucket('1m')} AS bucket_start, service, level, count(*) AS log_count
-FROM s WHERE NOT (level IN ('warn', 'error') AND value < 5) GROUP BY 1, 2, 3""",
+FROM s WHERE NOT (level IN ('warn', 'error', 'debug') AND value < 5) AND id % 2500 <> 7
+GROUP BY 1, 2, 3""",
+        "stream_report": _STREAM_REPORT,
+        "stream_two_inboxes": f"{_STORED} SELECT {_STORED_ROW} FROM s",
+        "store_filter_late_hot": (
+            f"{_STORED} SELECT {_STORED_ROW} FROM s WHERE attr_user_id = '42'"
+        ),
+        "store_ids": f"""{_STORED}
+SELECT row_number() OVER (
+  ORDER BY CASE WHEN id % 10 = 3 THEN 0 WHEN id % 10 > 3 THEN 1 ELSE 2 END, s.id) AS id,
+  {_STORED_ROW} FROM s""",
     }
     for group_by in (None, "service", "level"):
         for bucket in INTERVALS:

@@ -24,7 +24,7 @@ from loamlog.operators.stats import latency_summary
 from loamlog.plans.params import AggregateQuery, LogQuery
 from loamlog.schema import BUCKETS, RetentionConfig
 from loamlog.session import configure, scratch_path
-from loamlog.sources.batches import rows_from_arrays
+from loamlog.sources.batches import read_requests, rows_from_arrays
 from loamlog.sources.events import (
     EVENTS,
     clean_requests,
@@ -272,10 +272,15 @@ def ingest_report(spark, sf_dir):
 
 @_query()
 def dead_letters(spark, sf_dir):
-    return (
-        validate.rejected(_checked(spark, sf_dir))
-        .groupBy("reason")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("body").alias("bodies"))
+    """Every refused entry with what it said, read back from its JSON."""
+    said = [F.get_json_object("entry", f"$.{c}").alias(f"its_{c}") for c in ("level", "service")]
+    return validate.rejected(_checked(spark, sf_dir)).select(
+        "request_id",
+        "index",
+        "reason",
+        F.length(F.get_json_object("entry", "$.message")).cast("int").alias("message_length"),
+        *said,
+        F.col("body").isNotNull().alias("has_body"),
     )
 
 
@@ -362,47 +367,37 @@ def event_store(spark: SparkSession, sf_dir: str) -> LogStore:
     return store
 
 
-_READ_ONLY: dict[tuple[str, str], LogStore] = {}
-
-
-def _shared_store(spark: SparkSession, sf_dir: str) -> LogStore:
-    """One store per session and data folder for the queries that only read."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _READ_ONLY:
-        _READ_ONLY[key] = event_store(spark, sf_dir)
-    return _READ_ONLY[key]
-
-
-def _plain(logs: DataFrame) -> DataFrame:
-    """Comparable columns of stored rows; ids follow arrival and are left out."""
+def _plain(logs: DataFrame, *more: str) -> DataFrame:
+    """Comparable columns of stored rows; ids follow arrival."""
     return logs.select(
+        *more,
         F.col("timestamp").cast("timestamp_ntz").alias("log_ts"), "level", "service", "message"
     )
 
 
 @_query()
 def store_logs(spark, sf_dir):
-    return _plain(_shared_store(spark, sf_dir).logs())
+    return _plain(event_store(spark, sf_dir).logs())
 
 
 @_query()
 def store_search(spark, sf_dir):
     """The newest errors, as the page a client gets."""
-    page = _shared_store(spark, sf_dir).search(LogQuery(level="error", limit=200))
+    page = event_store(spark, sf_dir).search(LogQuery(level="error", limit=200))
     rows = [(log["timestamp"], log["service"], log["message"]) for log in page.logs]
     return spark.createDataFrame(rows, "timestamp string, service string, message string")
 
 
 @_query()
 def store_filter(spark, sf_dir):
-    store = _shared_store(spark, sf_dir)
+    store = event_store(spark, sf_dir)
     query = LogQuery(since=SINCE, until=UNTIL, attributes={"user_id": "42", "active": "false"})
     return _plain(store.filter(query))
 
 
 @_query()
 def store_aggregate(spark, sf_dir):
-    counts = _shared_store(spark, sf_dir).aggregate(_range(group_by="service"))
+    counts = event_store(spark, sf_dir).aggregate(_range(group_by="service"))
     return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -433,13 +428,76 @@ def store_compaction(spark, sf_dir):
     return _plain(store.logs())
 
 
+@_query()
+def store_filter_late_hot(spark, sf_dir):
+    """The same attribute over files from before and after it got a column."""
+    store = LogStore(spark, scratch_path(spark, "store"))
+    events = read_table(spark, sf_dir, "events")
+    early = F.col("event_id") % 2 == 0
+    store.ingest(clean_requests(events.where(early)), INGEST_NOW)
+    store = LogStore(spark, store.root, hot_attributes=("user_id",))
+    store.ingest(clean_requests(events.where(~early)), INGEST_NOW)
+    late = LogStore(spark, store.root)
+    return _plain(late.filter(LogQuery(attributes={"user_id": "42"})))
+
+
+def _dropped(requests: DataFrame, folder: str, *parts: Column) -> None:
+    """Request lines as one file per part, written one after the other."""
+    for part in parts:
+        lines = requests.where(part).orderBy("request_id").select("body")
+        lines.coalesce(1).write.mode("append").text(folder)
+
+
+@_query()
+def store_ids(spark, sf_dir):
+    """Ids of stored rows: a small file that came first, then a large one and a middling one."""
+    folder = scratch_path(spark, "requests")
+    requests = clean_requests(read_table(spark, sf_dir, "events"))
+    turn = F.col("request_id") % 10
+    _dropped(requests, folder, turn == 3, turn > 3, turn < 3)
+    store = LogStore(spark, f"{folder}-store")
+    store.ingest(read_requests(spark, folder), INGEST_NOW)
+    return _plain(store.logs(), "id")
+
+
+def _streamed(spark: SparkSession, folder: str, store: LogStore, progress: str) -> None:
+    now = to_micros(INGEST_NOW)
+    ingest_stream(store, folder, progress, drain=True, clock=lambda: now).awaitTermination()
+
+
+@_query()
+def stream_two_inboxes(spark, sf_dir):
+    """Two streams with their own inboxes and checkpoints; one inbox has files of all ages."""
+    folder = scratch_path(spark, "requests")
+    requests = clean_requests(read_table(spark, sf_dir, "events"))
+    old = F.col("request_id") % 3
+    _dropped(requests, f"{folder}-a", old == 0, old == 1)
+    _dropped(requests, f"{folder}-b", old == 2)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}-a")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    texts = [f for f in files.listStatus(path) if f.getPath().getName().startswith("part-")]
+    files.setTimes(texts[0].getPath(), texts[0].getModificationTime() - 90 * 86_400_000, -1)
+    store = LogStore(spark, f"{folder}-store")
+    for inbox in ("a", "b"):
+        _streamed(spark, f"{folder}-{inbox}", store, f"{folder}-progress-{inbox}")
+    return _plain(store.logs())
+
+
+@_query()
+def stream_report(spark, sf_dir):
+    """What the stream told about each request."""
+    folder = scratch_path(spark, "requests")
+    mixed_requests(read_table(spark, sf_dir, "events")).select("body").write.text(folder)
+    store = LogStore(spark, f"{folder}-store")
+    _streamed(spark, folder, store, f"{folder}-progress")
+    rejected = F.transform("rejected", lambda r: F.concat_ws(":", r["index"], r["reason"]))
+    return store.reports().select("accepted", F.array_join(rejected, "|").alias("rejected"), "error")
+
+
 @_query()
 def stream_ingest(spark, sf_dir):
     folder = scratch_path(spark, "requests")
     mixed_requests(read_table(spark, sf_dir, "events")).select("body").write.text(folder)
     store = LogStore(spark, f"{folder}-store")
-    now = to_micros(INGEST_NOW)
-    ingest_stream(
-        store, folder, f"{folder}-progress", drain=True, clock=lambda: now
-    ).awaitTermination()
+    _streamed(spark, folder, store, f"{folder}-progress")
     return _stored_rollup(store)

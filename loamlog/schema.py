@@ -33,12 +33,42 @@ ROLLUP = T.StructType(
     ]
 )
 
+# Where a request came from: its file, the place in it where the reading task began, and the
+# line counted from there (from 1; the file's own line number unless the file was split).
+ARRIVAL = T.StructType(
+    [
+        T.StructField("modified", T.TimestampType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("start", T.LongType()),
+        T.StructField("line", T.LongType()),
+    ]
+)
+
 REJECTED = T.StructType(
     [
         T.StructField("request_id", T.LongType()),
         T.StructField("index", T.IntegerType()),
         T.StructField("reason", T.StringType()),
         T.StructField("body", T.StringType()),
+        T.StructField("entry", T.StringType()),
+        T.StructField("arrival", ARRIVAL),
+    ]
+)
+
+REPORTS = T.StructType(
+    [
+        T.StructField("request_id", T.LongType()),
+        T.StructField("arrival", ARRIVAL),
+        T.StructField("accepted", T.LongType()),
+        T.StructField(
+            "rejected",
+            T.ArrayType(
+                T.StructType(
+                    [T.StructField("index", T.IntegerType()), T.StructField("reason", T.StringType())]
+                )
+            ),
+        ),
+        T.StructField("error", T.StringType()),
     ]
 )
 
@@ -62,7 +92,11 @@ def _require_positive(settings) -> None:
 
 @dataclass(frozen=True)
 class IngestConfig:
-    """Size limits of one request and its entries, and the micro-batch rhythm."""
+    """Size limits of one request and its entries, and the micro-batch rhythm.
+
+    A batch takes the files that have arrived, up to a number of files if one is given and
+    up to a number of bytes otherwise.
+    """
 
     max_logs_per_batch: int = 10_000
     max_service_length: int = 256
@@ -70,27 +104,26 @@ class IngestConfig:
     max_attributes: int = 50
     max_attribute_key_length: int = 128
     max_attribute_value_length: int = 4_096
-    insert_chunk_size: int = 5_000
     flush_interval_ms: int = 50
-    max_files_per_trigger: int = 1_000
+    max_files_per_trigger: int | None = None
+    max_bytes_per_trigger: int = 64 << 30
 
     def __post_init__(self) -> None:
         _require_positive(self)
-        if self.insert_chunk_size > self.max_logs_per_batch:
-            raise ValueError("insert_chunk_size must not be greater than max_logs_per_batch")
 
 
 @dataclass(frozen=True)
 class RetentionConfig:
     """How long rows live, how often a run is due and how many rows it may delete.
 
-    Without a ``batch_size`` a run deletes everything that has expired.
+    Without a ``batch_size`` a run deletes everything that has expired; with one, at most
+    ``batch_size * max_batches`` rows, the oldest.
     """
 
     enabled: bool = True
     days: int = 30
     interval_minutes: int = 15
-    batch_size: int | None = 5_000
+    batch_size: int | None = None
     max_batches: int = 20
 
     def __post_init__(self) -> None:

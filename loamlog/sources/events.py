@@ -105,6 +105,11 @@ def _entry(**changes: Column | None) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
 
 
+def _numbered_keys(n: int) -> Column:
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.format_string('"k%d":%d', i, i))
+    return F.array_join(pairs, ",")
+
+
 def _request(*entries: Column) -> Column:
     return F.concat(F.lit('{"logs":['), F.concat_ws(",", *entries), F.lit("]}"))
 
@@ -132,8 +137,9 @@ def mixed_requests(events: DataFrame) -> DataFrame:
     """One request per event with damaged copies of it beside it.
 
     Built inside the row, so every validation rule meets data from the whole table
-    without a shuffle. Small ``error`` events come without their valid entry, and
-    small ``warn`` ones in a broken envelope.
+    without a shuffle. Small ``error`` events come without their valid entry, small ``info``
+    ones without attributes, small ``warn`` and ``debug`` ones in broken envelopes, and a
+    few requests are too long.
     """
     stamp = iso_millis(F.col("timestamp"))
     user = _attribute("user_id")
@@ -152,10 +158,29 @@ def mixed_requests(events: DataFrame) -> DataFrame:
         _entry(attributes=F.format_string('{"":%s}', user)),
         F.format_string("[%s]", user),
         F.when(F.col("level") == "debug", _entry(message=_quoted(F.repeat("message", 320)))),
+        _entry(timestamp=F.lit('"0000-06-01T00:00:00Z"')),
+        _entry(timestamp=F.lit('"0001-01-01T00:00:00+05:00"')),
+        _entry(attributes=F.concat(F.lit("{"), _numbered_keys(51), F.lit("}"))),
+        _entry(attributes=F.concat(F.lit('{"'), F.repeat(F.lit("k"), 129), F.lit('":1}'))),
+        _entry(attributes=F.lit('{"n":-1e400}')),
+        _entry(attributes=F.concat(F.lit('{"s":"'), F.repeat(F.lit("v"), 4097), F.lit('"}'))),
+        _entry(level=F.format_string('[["%s"],[1,[null,2]]]', F.col("level"))),
     ]
-    whole = F.when(~((F.col("level") == "error") & small), _entry())
-    broken = (F.col("level") == "warn") & small
-    body = F.when(broken, F.concat(F.lit('{"logs":'), _entry(), F.lit("}"))).otherwise(
-        _request(whole, *damaged)
+    # Fields that no rule knows are dropped, a client's id too.
+    more = {"id": F.lit("7"), "extra": F.lit('"x"')}
+    bare = (F.col("level") == "info") & small
+    whole = F.when(bare, _entry(attributes=None, **more)).otherwise(_entry(**more))
+    whole = F.when(~((F.col("level") == "error") & small), whole)
+    sound = _request(whole, *damaged)
+    debug, value = F.col("level") == "debug", F.col("value")
+    body = (
+        F.when(F.col("id") % 2500 == 7, F.concat(F.lit('{"logs":['), F.repeat(F.lit("1,"), 10_000), F.lit("1]}")))
+        .when((F.col("level") == "warn") & small, F.concat(F.lit('{"logs":'), _entry(), F.lit("}")))
+        .when(debug & (value < 1), F.regexp_replace(sound, r"\}$", ""))
+        .when(debug & (value < 2), F.concat(sound, F.lit("] garbage")))
+        .when(debug & (value < 3), F.concat(sound, F.lit("],[1")))
+        .when(debug & (value < 4), F.format_string("[%s]", user))
+        .when(debug & (value < 5), F.concat(sound, F.lit(","), sound))
+        .otherwise(sound)
     )
     return logs_of(events, "value").select(F.col("id").alias("request_id"), body.alias("body"))

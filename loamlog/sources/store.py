@@ -2,13 +2,17 @@
 
     logs/log_date=D/batch_id=N/       rows, one folder per UTC day and write
     rollup_1m/log_date=D/batch_id=N/  additive minute counts of the same write
-    rejected/batch_id=N/              refused entries of the same write
+    rejected/batch_id=N/              refused entries of the same write, as they were sent
+    reports/batch_id=N/               what became of each request of the same write
     _state/                           one small JSON file per published change
 
 Every change is a new numbered write that becomes visible when its state file
 appears. Numbers are claimed and never used twice: one that was skipped, because its
 job died or lost against another writer, is void for good. Readers take the numbers
 up to the published one, so nothing half-written is ever visible.
+A published version is a new file that no other writer can have created: linked into place on a
+local file system, renamed on HDFS, where a rename never replaces a file, and read back. On
+stores whose rename copies (object stores) run a single writer.
 Deleting is metadata: a day's ``floor`` hides all of its earlier writes, and a
 ``cut`` hides the oldest rows of one day. Counts are corrected by adding negative
 rows, never by rewriting.
@@ -17,6 +21,10 @@ rows, never by rewriting.
 from __future__ import annotations
 
 import json
+import os
+import threading
+import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
@@ -28,19 +36,31 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamlog.functions.timestamps import DAY, floor_minute, literal, to_micros
+from loamlog.functions.timestamps import DAY, floor_minute, literal, split_range, to_micros
 from loamlog.operators import filters, retention, search, validate
 from loamlog.operators.aggregate import aggregate
 from loamlog.operators.filters import HOT_PREFIX
 from loamlog.operators.maintenance import backfill_attributes_text
-from loamlog.operators.ordering import number_in_place, nth_bucket, placed_as_read
+from loamlog.operators.ordering import nth_bucket, number_by_source
 from loamlog.operators.rollup import merge_rollups, minute_rollup, negated
 from loamlog.plans.params import AggregateQuery, LogQuery
-from loamlog.schema import LOGS, PLACEMENT, REJECTED, ROLLUP, IngestConfig, RetentionConfig
+from loamlog.schema import (
+    LOGS,
+    PLACEMENT,
+    REJECTED,
+    REPORTS,
+    ROLLUP,
+    IngestConfig,
+    RetentionConfig,
+)
 from loamlog.session import configure
 
 _EPOCH = date(1970, 1, 1)
 _CLAIMS_KEPT = 1_000
+_ROW_BITS = 33  # of monotonically_increasing_id
+_SOURCE = ("_modified", "_file", "_start")
+#: One writing job at a time per store and driver: ingestion and maintenance take turns.
+_WRITING: dict[str, threading.RLock] = defaultdict(threading.RLock)
 
 
 def _day(micros: int) -> date:
@@ -95,12 +115,15 @@ class State:
     days: tuple[str, ...] = ()
     void: tuple[int, ...] = ()
     streams: dict[str, int] = field(default_factory=dict)
+    #: First write whose files have a column for the attribute.
+    hot: dict[str, int] = field(default_factory=dict)
     floors: dict[str, int] = field(default_factory=dict)
     cuts: tuple[Cut, ...] = ()
 
     @classmethod
     def parse(cls, text: str) -> State:
         data = json.loads(text)
+        data.pop("writer", None)
         data["cuts"] = tuple(Cut(**c) for c in data["cuts"])
         data["days"], data["void"] = tuple(data["days"]), tuple(data["void"])
         return cls(**data)
@@ -150,34 +173,50 @@ class LogStore:
     def _names(self, pattern: str) -> list[str]:
         return [found.getPath().getName() for found in self._glob(pattern)]
 
-    def _days_of_batch(self, batch_id: int) -> set[str]:
-        """Days a write has just put rows into."""
-        found = self._glob(f"logs/log_date=*/batch_id={batch_id}")
-        return {f.getPath().getParent().getName().removeprefix("log_date=") for f in found}
-
     def state(self) -> State:
         versions = sorted(self._names("_state/*.json"))
         if not versions:
             return State()
-        path = self._path(f"_state/{versions[-1]}")
+        return State.parse(self._read_text(self._path(f"_state/{versions[-1]}")))
+
+    def _read_text(self, path) -> str:
         read_all = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString
         source = self._fs.open(path)
         try:
-            return State.parse(read_all(source, "UTF-8"))
+            return read_all(source, "UTF-8")
         finally:
             source.close()
 
-    def _publish(self, state: State) -> State:
-        """Make a change visible: the file appears whole, or an equal version already exists."""
-        published = replace(state, version=state.version + 1)
-        name = f"{published.version:012d}.json"
-        draft, final = self._path(f"_state/.{name}.draft"), self._path(f"_state/{name}")
-        out = self._fs.create(draft, True)
+    def _create(self, relative: str, text: str) -> bool:
+        """Make a file appear whole; False if it exists. Of several creators one wins."""
+        final = self._path(relative)
+        draft = self._path(f"_state/drafts/{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
         try:
-            out.write(bytearray(json.dumps(asdict(published)).encode()))
+            out.write(bytearray(text.encode()))
         finally:
             out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        if self._fs.getUri().getScheme() == "file":
+            place = final.toUri().getPath()
+            os.makedirs(os.path.dirname(place), exist_ok=True)
+            try:
+                os.link(draft.toUri().getPath(), place)
+            except FileExistsError:
+                return False
+            finally:
+                self._fs.delete(draft, False)
+        else:
+            self._fs.mkdirs(final.getParent())
+            if self._fs.exists(final) or not self._fs.rename(draft, final):
+                self._fs.delete(draft, False)
+                return False
+        return self._read_text(final) == text
+
+    def _publish(self, state: State) -> State:
+        """Make a change visible, or fail because another writer published the version first."""
+        published = replace(state, version=state.version + 1)
+        own = {**asdict(published), "writer": uuid.uuid4().hex}  # no two attempts look alike
+        if not self._create(f"_state/{published.version:012d}.json", json.dumps(own)):
             raise RuntimeError(f"another writer published version {published.version}")
         for stale in self._glob("_state/*.json")[:-5]:
             self._fs.delete(stale.getPath(), False)
@@ -186,7 +225,7 @@ class LogStore:
     def _claim(self, state: State) -> int:
         """A write number of our own; the file system lets one creator win."""
         batch_id = state.last_batch + 1
-        while not self._fs.createNewFile(self._path(f"_state/claims/{batch_id:012d}")):
+        while not self._create(f"_state/claims/{batch_id:012d}", uuid.uuid4().hex):
             batch_id += 1
         return batch_id
 
@@ -205,24 +244,30 @@ class LogStore:
                 if not self._glob(f"{table}/log_date={day}/batch_id=*"):
                     self._fs.delete(self._path(f"{table}/log_date={day}"), True)
         for batch_id in state.void:
-            for table in ("logs/log_date=*", "rollup_1m/log_date=*", "rejected"):
+            for table in ("logs/log_date=*", "rollup_1m/log_date=*", "rejected", "reports"):
                 for found in self._glob(f"{table}/batch_id={batch_id}"):
                     self._fs.delete(found.getPath(), True)
                     removed += 1
         for claim in self._names("_state/claims/*"):
             if int(claim) < state.last_batch - _CLAIMS_KEPT:
                 self._fs.delete(self._path(f"_state/claims/{claim}"), False)
-        if state.floors:
-            # Nothing is left below the floors, so they have no more to hide.
-            self._publish(replace(state, floors={}))
+        # Nothing is left below the floors, so they have no more to hide; nor have the void
+        # numbers whose folders are gone and that no writer can still be filling.
+        old = state.last_batch - _CLAIMS_KEPT
+        after = replace(state, floors={}, void=tuple(n for n in state.void if n >= old))
+        if after != state:
+            self._publish(after)
         return removed
 
     # ---- reading -----------------------------------------------------------
 
-    @property
-    def _logs_schema(self) -> T.StructType:
-        hot = [T.StructField(HOT_PREFIX + k, T.StringType()) for k in self.hot_attributes]
-        return T.StructType([*LOGS.fields, *hot, *PLACEMENT.fields])
+    def _hot_keys(self, state: State) -> list[str]:
+        """Attributes with a column of their own: once one has it, every later write does."""
+        return [*state.hot, *(k for k in self.hot_attributes if k not in state.hot)]
+
+    def _logs_schema(self, hot: Sequence[str]) -> T.StructType:
+        columns = [T.StructField(HOT_PREFIX + k, T.StringType()) for k in hot]
+        return T.StructType([*LOGS.fields, *columns, *PLACEMENT.fields])
 
     def dates(
         self, since: int | None = None, until: int | None = None, state: State | None = None
@@ -279,7 +324,17 @@ class LogStore:
         return self._rows(state, days).drop("batch_id")
 
     def _rows(self, state: State, days: Sequence[date]) -> DataFrame:
-        rows = self._scan("logs", self._logs_schema, state, days)
+        hot = list(state.hot)
+        rows = self._scan("logs", self._logs_schema(hot), state, days)
+        # Files older than a column answer from the map; the filters reach both branches.
+        since = max(state.hot.values(), default=0)
+        lowest = min((state.floors.get(d.isoformat(), 1) for d in days), default=1)
+        if hot and days and lowest < since:
+            older = self._scan("logs", self._logs_schema([]), state, days)
+            older = older.where(F.col("batch_id") < since).withColumns(
+                {HOT_PREFIX + k: F.col("attributes_text")[F.lit(k)] for k in hot}
+            )
+            rows = rows.where(F.col("batch_id") >= since).unionByName(older)
         shown = {d.isoformat() for d in days}
         for cut in state.cuts:
             if cut.day in shown:
@@ -310,19 +365,30 @@ class LogStore:
 
     def rejected(self) -> DataFrame:
         """The dead letters of all published writes."""
-        schema = REJECTED.add("batch_id", T.LongType())
-        if not self._names("rejected/batch_id=*"):
+        return self._per_write("rejected", REJECTED)
+
+    def reports(self) -> DataFrame:
+        """Per request of all published writes: accepted count, rejects, error."""
+        return self._per_write("reports", REPORTS)
+
+    def _per_write(self, table: str, columns: T.StructType) -> DataFrame:
+        schema = T.StructType([*columns.fields, T.StructField("batch_id", T.LongType())])
+        if not self._names(f"{table}/batch_id=*"):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.root}/rejected")
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
         return rows.where(self._published(self.state()))
 
     # ---- queries -----------------------------------------------------------
 
     def aggregate(self, query: AggregateQuery) -> DataFrame:
+        """Counts per bucket; raw rows are read only where minute counts cannot answer."""
         state = self.state()
         days = self.dates(query.since, query.until, state)
-        logs = self.logs(state=state, days=days)
-        return aggregate(logs, query, self.rollup_deltas(state=state, days=days))
+        rollup = self.rollup_deltas(state=state, days=days)
+        if query.countable:
+            edges = split_range(query.since, query.until).edges
+            days = sorted({d for edge in edges for d in self.dates(*edge, state)}, reverse=True)
+        return aggregate(self.logs(state=state, days=days), query, rollup)
 
     def filter(self, query: LogQuery) -> DataFrame:
         """All matching rows, distributed."""
@@ -372,6 +438,16 @@ class LogStore:
                     *filters.in_time(deltas, None, last, column="bucket_start"),
                 ],
             )
+            if len(window) > 1:
+                # One row per day first; the minutes of a single day after that.
+                per_day = counted.groupBy(F.col("log_date").alias("bucket"))
+                day, before = nth_bucket(
+                    per_day.agg(F.sum("log_count").alias("n")), need, descending=True
+                )
+                need -= before
+                if day is None:
+                    continue
+                counted = counted.where(F.col("log_date") == F.lit(day))
             minutes = counted.groupBy(F.unix_micros("bucket_start").alias("bucket"))
             minute, before = nth_bucket(
                 minutes.agg(F.sum("log_count").alias("n")), need, descending=True
@@ -392,24 +468,58 @@ class LogStore:
     ) -> IngestResult:
         """Validate requests (``request_id``, ``body``) and store them as one atomic write.
 
-        A streamed batch that was published before is recognised by its epoch and
-        skipped, so a replay changes nothing.
+        Ids follow the order of arrival: by file (modification time, then name), place in the
+        file and place in the request. Requests that do not come straight from files are
+        written down first, in the order of their partitions, so that a lost task cannot come
+        back with other rows. A streamed batch that was published before is recognised by
+        ``stream``, the identity of its checkpoint, and its epoch; a replay changes nothing.
         """
+        with _WRITING[self.root]:
+            return self._ingest(requests, now, stream, epoch)
+
+    def _staged(self, requests: DataFrame, folder: str) -> DataFrame:
+        place = F.monotonically_increasing_id()
+        requests.withColumn("_place", place).write.parquet(f"{self.root}/{folder}")
+        rows = self.spark.read.parquet(f"{self.root}/{folder}")
+        arrival = F.struct(
+            F.lit(None).cast("timestamp").alias("modified"),
+            F.lit(None).cast("string").alias("file"),
+            F.shiftrightunsigned("_place", _ROW_BITS).alias("start"),
+            F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1).alias("line"),
+        )
+        return rows.withColumn("arrival", arrival).drop("_place")
+
+    def _ingest(
+        self, requests: DataFrame, now: int | str, stream: str | None, epoch: int | None
+    ) -> IngestResult:
         state = self.state()
         if stream is not None and epoch is not None and state.streams.get(stream, -1) >= epoch:
             return IngestResult(None, 0, 0)
         batch_id = self._claim(state)
+        staging = f"_staging/batch_id={batch_id}"
+        staged = "arrival" not in requests.columns
+        if staged:
+            requests = self._staged(requests, staging)
         checked = validate.check_requests(requests, to_micros(now), self.config)
         # Read several times below. Lost blocks are recomputed in the same order,
         # because the input splits of one batch are fixed.
         checked.persist(StorageLevel.MEMORY_AND_DISK)
+        hot = {**{k: batch_id for k in self.hot_attributes}, **state.hot}
         try:
             good = checked.where(F.col("reason").isNull())
-            keyed = number_in_place(
-                placed_as_read(validate.accepted(good).drop("request_id", "index")),
+            source = {
+                "_modified": F.coalesce(F.unix_micros("arrival.modified"), F.lit(0)),
+                "_file": F.coalesce("arrival.file", F.lit("")),
+                "_start": F.col("arrival.start"),
+            }
+            keyed = number_by_source(
+                validate.accepted(good).withColumns({**source, "_at": F.col("arrival.line")}),
+                _SOURCE,
+                "_at",
                 "id",
                 state.next_id,
-            )
+            ).drop(*_SOURCE, "_at", "request_id", "index", "arrival")
+            traced = self._traced(checked)
             sizes = checked.agg(
                 F.count_if(F.col("reason").isNull()).alias("accepted"),
                 F.count_if(F.col("reason").isNotNull()).alias("rejected"),
@@ -417,16 +527,24 @@ class LogStore:
             day = F.to_date("timestamp")
             rows = keyed.withColumn("log_date", day)
             counts = minute_rollup(good.withColumn("log_date", day))
-            letters = validate.rejected(checked).write.mode("overwrite")
-            writes: list[Callable[[], None]] = []
+            letters = validate.rejected(traced).write.mode("overwrite")
+            reports = validate.ingest_report(traced, "request_id", "arrival")
+            reports = reports.write.mode("overwrite")
+            writes: list[Callable[[], None]] = [
+                lambda: reports.parquet(f"{self.root}/reports/batch_id={batch_id}")
+            ]
+            found: list[Row] = []
             if sizes["accepted"]:
-                writes.append(lambda: self._write_logs(rows, batch_id, hint="rebalance"))
+                writes.append(lambda: self._write_logs(rows, batch_id, list(hot)))
                 writes.append(lambda: self._write_rollup(counts, batch_id))
+                writes.append(lambda: found.extend(rows.select("log_date").distinct().collect()))
             if sizes["rejected"]:
                 writes.append(lambda: letters.parquet(f"{self.root}/rejected/batch_id={batch_id}"))
             _together(writes)
         finally:
             checked.unpersist()
+        if staged:
+            self._fs.delete(self._path(staging), True)
         streams = dict(state.streams)
         if stream is not None and epoch is not None:
             streams[stream] = epoch
@@ -434,25 +552,36 @@ class LogStore:
             state.after(
                 batch_id,
                 next_id=state.next_id + sizes["accepted"],
-                days=tuple(sorted({*state.days, *self._days_of_batch(batch_id)})),
+                days=tuple(sorted({*state.days, *(r["log_date"].isoformat() for r in found)})),
                 streams=streams,
+                hot=hot,
             )
         )
         return IngestResult(batch_id, sizes["accepted"], sizes["rejected"])
 
-    def _write_logs(self, rows: DataFrame, batch_id: int, hint: str) -> None:
-        """Files of one day each, sorted so that service and time skip pages.
+    @staticmethod
+    def _traced(checked: DataFrame) -> DataFrame:
+        """``arrival`` with the line counted from its split's first request."""
+        split = [
+            F.shiftrightunsigned("request_id", _ROW_BITS).alias("_task"),
+            F.coalesce("arrival.file", F.lit("")).alias("_from"),
+            F.col("arrival.start").alias("_begin"),
+        ]
+        keyed = checked.select("*", *split)
+        keys = ["_task", "_from", "_begin"]
+        first = keyed.groupBy(*keys).agg(F.min("arrival.line").alias("_first"))
+        line = F.col("arrival.line") - F.col("_first") + 1
+        return (
+            keyed.join(F.broadcast(first), keys)  # one row per task and split
+            .withColumn("arrival", F.col("arrival").withField("line", line))
+            .drop(*keys, "_first")
+        )
 
-        ``rebalance`` evens out file sizes however uneven the days are; ``range`` also
-        gives every file a time span of its own, for rewrites.
-        """
-        if hint == "rebalance":
-            placed = rows.hint("rebalance", F.col("log_date"))
-        else:
-            placed = rows.repartitionByRange("log_date", "timestamp", "id")
-        hot = {
-            HOT_PREFIX + k: F.col("attributes_text")[F.lit(k)] for k in self.hot_attributes
-        }
+    def _write_logs(self, rows: DataFrame, batch_id: int, hot_keys: Sequence[str]) -> None:
+        """Files of one time span each, so that a page opens few of them, sorted so that
+        service and time skip row groups inside. Ranges also split hot days."""
+        placed = rows.repartitionByRange("log_date", "timestamp", "id")
+        hot = {HOT_PREFIX + k: F.col("attributes_text")[F.lit(k)] for k in hot_keys}
         if hot:
             placed = placed.withColumns(hot)
         writer = (
@@ -486,9 +615,13 @@ class LogStore:
         delete are read, to count them per minute; no survivor is rewritten.
         """
         config = config or RetentionConfig()
-        nothing = {"deleted_count": 0, "rollup_rows_removed": 0}
         if not config.enabled:
-            return nothing
+            return {"deleted_count": 0, "rollup_rows_removed": 0}
+        with _WRITING[self.root]:
+            return self._retain(now, config)
+
+    def _retain(self, now: int | str, config: RetentionConfig) -> dict[str, int]:
+        nothing = {"deleted_count": 0, "rollup_rows_removed": 0}
         state = self.state()
         before = retention.cutoff(to_micros(now), config)
         boundary = self._boundary(before, config.max_rows, state)
@@ -555,8 +688,9 @@ class LogStore:
         day, skipped = nth_bucket(by_day, max_rows)
         if day is None:
             return retention.Boundary(before)
+        minutes = merge_rollups(self.rollup_deltas(state=state, days=[day]).drop("log_date"))
         return retention.find_boundary(
-            self.logs(state=state, days=[day]), before, max_rows - skipped
+            self.logs(state=state, days=[day]), before, max_rows - skipped, minutes
         )
 
     def rewrite(
@@ -566,21 +700,32 @@ class LogStore:
     ) -> int:
         """Write the visible rows of some days anew: fewer, time-ordered files, merged counts.
 
-        ``transform`` may change columns but must keep the rows.
+        Day by day, each published on its own: a run that stops keeps the days it has done, and
+        the table is never stored twice. ``transform`` may change columns but must keep the rows.
         """
+        last = self.state().last_batch
+        for day in sorted(days):
+            with _WRITING[self.root]:
+                last = self._rewrite_day(day, transform)
+        return last
+
+    def _rewrite_day(
+        self, day: date, transform: Callable[[DataFrame], DataFrame] | None
+    ) -> int:
         state = self.state()
-        days = [d for d in self.dates(state=state) if d in set(days)]
+        days = [d for d in self.dates(state=state) if d == day]
         if not days:
             return state.last_batch
         batch_id = self._claim(state)
         rows = self.logs(state=state, days=days)
+        hot = {**{k: batch_id for k in self.hot_attributes}, **state.hot}
         stale = [c for c in rows.columns if c.startswith(HOT_PREFIX)]
         rows = rows.drop(*stale)
         rows = transform(rows) if transform else rows
         counts = merge_rollups(self.rollup_deltas(state=state, days=days))
         _together(
             [
-                lambda: self._write_logs(rows, batch_id, hint="range"),
+                lambda: self._write_logs(rows, batch_id, list(hot)),
                 lambda: self._write_rollup(counts, batch_id),
             ]
         )
@@ -590,15 +735,16 @@ class LogStore:
                 batch_id,
                 floors={**state.floors, **{d: batch_id for d in rewritten}},
                 cuts=tuple(c for c in state.cuts if c.day not in rewritten),
+                hot=hot,
             )
         )
         return batch_id
 
-    def crowded_days(self, before: int, folders: int) -> list[date]:
-        """Days that have ended and still consist of more than so many writes."""
+    def crowded_days(self, folders: int) -> list[date]:
+        """Days that consist of more than so many writes, the running day included."""
         state = self.state()
         crowded = []
-        for day in self.dates(until=_midnight(_day(before)), state=state):
+        for day in self.dates(state=state):
             floor = state.floors.get(day.isoformat(), 0)
             writes = self._names(f"logs/log_date={day.isoformat()}/batch_id=*")
             if sum(int(w.removeprefix("batch_id=")) >= floor for w in writes) > folders:
@@ -606,7 +752,12 @@ class LogStore:
         return crowded
 
     def compact(self, days: Sequence[date] | None = None) -> int:
-        return self.rewrite(self.dates() if days is None else days)
+        """Merge the small files of days; by default of all that have more than one write."""
+        return self.rewrite(self._unmerged_days() if days is None else days)
+
+    def _unmerged_days(self) -> list[date]:
+        cut = {c.day for c in self.state().cuts}
+        return sorted({*self.crowded_days(1), *(d for d in self.dates() if d.isoformat() in cut)})
 
     def backfill_attributes(self, days: Sequence[date] | None = None) -> int:
         """Derive ``attributes_text`` again, for rows stored before it existed."""
