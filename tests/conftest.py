@@ -37,11 +37,11 @@ def at(seconds: float) -> str:
 
 def log(**changes):
     entry = {
-        "timestamp": "2026-07-20T14:32:01.123Z",
-        "level": "error",
-        "service": "checkout",
-        "message": "payment declined",
-        "attributes": {"user_id": "42", "region": "eu-west", "retries": 3},
+        "timestamp": at(1921.25),
+        "level": "warn",
+        "service": "harbour",
+        "message": "crane 7 is slow",
+        "attributes": {"user_id": "314", "berth": "north", "lifts": 12},
     }
     entry.update(changes)
     return {k: v for k, v in entry.items() if v is not ...}

@@ -41,11 +41,11 @@ def test_cursor_argument():
         {"level": "critical"},
         {"service": 3},
         {"q": ["x"]},
-        {"since": "not-a-date"},
+        {"since": "last week"},
         {"since": 5},
         {"since": RANGE["until"], "until": RANGE["since"]},
-        *[{"limit": v} for v in ("0", "1001", "-5", "1.5", "abc", "", 5, "1e9", "1e999", "0x", "1_0")],
-        {"cursor": "not-a-real-cursor!!"},
+        *[{"limit": v} for v in ("00", "1002", "-1", "2.25", "many", " ", 7, "2e3", "9e400", "0xg", "2_0", "1 2")],
+        {"cursor": "~~"},
         {"cursor": 1},
     ],
 )
@@ -91,7 +91,7 @@ def test_bad_aggregate_arguments(params):
 
 
 def test_retention_settings():
-    assert RetentionConfig().max_rows == 100_000
-    assert RetentionConfig(batch_size=None).max_rows is None
+    assert RetentionConfig(batch_size=30, max_batches=4).max_rows == 120
+    assert RetentionConfig().max_rows is None
     with pytest.raises(ValueError):
         RetentionConfig(days=0)

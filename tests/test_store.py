@@ -1,7 +1,9 @@
 """Ingest, replay, retention, compaction and streaming on stored tables."""
 
 import json
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from loamlog.plans.params import AggregateQuery, LogQuery
 from loamlog.schema import IngestConfig, RetentionConfig
 from loamlog.sources.batches import read_requests, with_request_id
 from loamlog.sources.store import LogStore
-from loamlog.streaming.ingest import ingest_stream
+from loamlog.streaming.ingest import ingest_stream, maintenance_stream
 from tests.conftest import BASE, NOW, at, explained, log, requests, stored
 
 
@@ -257,7 +259,7 @@ def test_stream_ingest_and_restart(spark, tmp_path):
     drop("one.json", log(message="1"), log(level="x"))
     drop("two.json", log(message="2"))
     drain()
-    assert _ids(store) == [1, 2] and store.state().streams == {"requests": 1}
+    assert _ids(store) == [1, 2] and list(store.state().streams.values()) == [1]
     drain()
     assert _ids(store) == [1, 2]
     drop("three.json", log(message="3", timestamp="2001-01-01T00:00:00Z"))
@@ -268,41 +270,171 @@ def test_stream_ingest_and_restart(spark, tmp_path):
     _assert_exact(store)
 
 
-def test_retention_rides_on_the_stream(spark, tmp_path):
-    folder = tmp_path / "requests"
-    folder.mkdir()
-    store = LogStore(spark, f"{tmp_path}/store", IngestConfig(max_files_per_trigger=1))
-    for name, days in (("a.json", 40), ("b.json", 1), ("c.json", 50)):
-        entry = log(timestamp=format_iso(NOW - days * DAY))
-        (folder / name).write_text(json.dumps({"logs": [entry]}) + "\n")
+def _drop(folder, name, *entries):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(json.dumps({"logs": list(entries)}) + "\n")
+
+
+def _drain(store, folder, progress, **options):
     ingest_stream(
-        store, str(folder), f"{tmp_path}/progress", drain=True, clock=lambda: NOW,
-        retention=RetentionConfig(),
+        store, str(folder), str(progress), drain=True, clock=lambda: NOW, **options
     ).awaitTermination()
-    # The run after the first batch took its expired row; the next one is not due yet.
-    kept = store.logs().count()
-    assert kept < 3
+
+
+def test_streams_do_not_pass_for_each_other(spark, tmp_path):
+    """Two inboxes, and the first one again from a new checkpoint."""
+    store = LogStore(spark, f"{tmp_path}/store")
+    for inbox in ("a", "b"):
+        _drop(tmp_path / inbox, "one.json", log(message=inbox))
+        _drain(store, tmp_path / inbox, tmp_path / f"progress-{inbox}")
+    _drain(store, tmp_path / "a", tmp_path / "progress-new")
+    assert sorted(r["message"] for r in store.logs().collect()) == ["a", "a", "b"]
+    assert len(store.state().streams) == 3
+
+
+def test_old_files_are_read(spark, tmp_path):
+    store = LogStore(spark, f"{tmp_path}/store")
+    inbox = tmp_path / "inbox"
+    _drop(inbox, "new.json", log(message="new"))
+    _drain(store, inbox, tmp_path / "progress")
+    _drop(inbox, "old.json", log(message="old"))
+    os.utime(inbox / "old.json", (1_000_000_000, 1_000_000_000))
+    _drain(store, inbox, tmp_path / "progress")
+    assert sorted(r["message"] for r in store.logs().collect()) == ["new", "old"]
+
+
+def test_retention_by_the_clock(spark, tmp_path):
+    """Expired rows go without any request arriving."""
+    store = stored(spark, tmp_path, log(timestamp=format_iso(NOW - 40 * DAY)), log())
+    query = maintenance_stream(store, f"{tmp_path}/progress", RetentionConfig(days=30), lambda: NOW)
+    try:
+        for _ in range(120):
+            if store.state().cuts:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert _ids(store) == [2]
     _assert_exact(store)
 
 
-def test_compaction_rides_on_the_stream(spark, tmp_path):
-    folder = tmp_path / "requests"
-    folder.mkdir()
+def test_merging_rides_on_the_stream(spark, tmp_path):
     store = LogStore(spark, f"{tmp_path}/store", IngestConfig(max_files_per_trigger=1))
-    for k in range(4):
+    for k in range(5):
         entries = [log(timestamp=format_iso(NOW - DAY)), log(timestamp=format_iso(NOW))]
-        (folder / f"{k}.json").write_text(json.dumps({"logs": entries}) + "\n")
-    times = iter(range(NOW, NOW + 1000 * DAY, 20 * MINUTE))
-    ingest_stream(
-        store, str(folder), f"{tmp_path}/progress", drain=True, clock=lambda: next(times),
-        retention=RetentionConfig(), compact_above=2,
-    ).awaitTermination()
-    assert len(_ids(store)) == 8
-    assert list(store.state().floors) == [format_iso(NOW - DAY)[:10]]
-    assert store.crowded_days(NOW, 2) == []
+        _drop(tmp_path / "inbox", f"{k}.json", *entries)
+    _drain(store, tmp_path / "inbox", tmp_path / "progress", compact_above=2)
+    assert len(_ids(store)) == 10
+    # The running day is merged too.
+    assert sorted(store.state().floors) == [format_iso(NOW - DAY)[:10], format_iso(NOW)[:10]]
+    assert store.crowded_days(3) == []
     _assert_exact(store)
 
 
+@pytest.mark.parametrize("step", ["_claim", "_create", "_publish"])
+def test_two_writers_keep_what_was_acknowledged(spark, tmp_path, monkeypatch, step):
+    """Another writer's whole write falls into a step of ours, at each time it is taken."""
+    store = stored(spark, tmp_path, log(message="first"))
+    plain = getattr(LogStore, step)
+    for turn in range(3):
+        calls, kept = [], {r["message"] for r in store.logs().collect()}
+
+        def interrupted(self, *arguments):
+            calls.append(1)
+            if self is store and len(calls) == turn + 1:
+                with monkeypatch.context() as inner:
+                    inner.setattr(LogStore, step, plain)
+                    other = LogStore(spark, store.root)
+                    other.ingest(requests(spark, {"logs": [log(message=f"theirs {turn}")]}), NOW)
+                    kept.add(f"theirs {turn}")
+            return plain(self, *arguments)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(LogStore, step, interrupted)
+            try:
+                store.ingest(requests(spark, {"logs": [log(message=f"ours {turn}")]}), NOW)
+                kept.add(f"ours {turn}")
+            except RuntimeError:
+                pass
+        rows = [r["message"] for r in store.logs().collect()]
+        assert sorted(rows) == sorted(kept)
+        _assert_exact(store)
+
+
+def test_a_column_added_later_finds_old_rows(spark, tmp_path):
+    store = stored(spark, tmp_path, log(attributes={"u": 1}))
+    query = LogQuery(attributes={"u": "1"})
+    for hot in (["u"], [], ["u", "v"], []):
+        store = LogStore(spark, store.root, hot_attributes=hot)
+        store.ingest(requests(spark, {"logs": [log(attributes={"u": 1}), log(attributes={"u": 2})]}), NOW)
+        assert store.filter(query).count() == (len(_ids(store)) + 1) // 2
+        assert len(store.search(query).logs) == (len(_ids(store)) + 1) // 2
+    plan = explained(store.filter(query))
+    assert "EqualTo(`attr__u`,1)" in plan or "EqualTo(attr__u,1)" in plan
+    store.compact()
+    assert store.filter(query).count() == 5
+    assert "UnionExec" not in explained(store.filter(query))
+
+
+def test_letters_tell_where_they_came_from(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for name, size in (("b.json", 40), ("a.json", 2)):
+        bad = log(level="x", message=name)
+        lines = [json.dumps({"logs": [log(message=f"{name} {k}")]}) for k in range(size - 1)]
+        (inbox / name).write_text("\n".join([*lines, json.dumps({"logs": [bad]})]) + "\n")
+        os.utime(inbox / name, (1_900_000_000 + size, 1_900_000_000 + size))
+    store = LogStore(spark, f"{tmp_path}/store")
+    result = store.ingest(read_requests(spark, str(inbox)), NOW)
+    assert (result.accepted, result.rejected) == (40, 2)
+    letters = {r["arrival"]["file"].split("/")[-1]: r for r in store.rejected().collect()}
+    assert {n: r["arrival"]["line"] for n, r in letters.items()} == {"a.json": 2, "b.json": 40}
+    assert json.loads(letters["a.json"]["entry"]) == log(level="x", message="a.json")
+    # The older file first, whatever the order Spark reads them in.
+    rows = [r["message"] for r in store.logs().orderBy("id").collect()]
+    assert rows == ["a.json 0", *[f"b.json {k}" for k in range(39)]]
+    reports = store.reports().collect()
+    assert len(reports) == 42 and sum(r["accepted"] for r in reports) == 40
+    assert {r["error"] for r in reports if not r["accepted"]} == {"all log entries were rejected"}
+
+
+def test_days_are_merged_one_by_one(spark, tmp_path, monkeypatch):
+    store = stored(spark, tmp_path, *[log(timestamp=format_iso(NOW - k * DAY)) for k in range(3)])
+    store.ingest(requests(spark, {"logs": [log(timestamp=format_iso(NOW - 2 * DAY)), log()]}), NOW)
+    merged = store._unmerged_days()
+    assert [d.isoformat() for d in merged] == sorted({format_iso(NOW - 2 * DAY)[:10], at(0)[:10]})
+    version, rewrite = store.state().version, LogStore._rewrite_day
+    done = []
+
+    def stop_after_one(self, day, transform):
+        if done:
+            raise RuntimeError("lost driver")
+        done.append(day)
+        return rewrite(self, day, transform)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(LogStore, "_rewrite_day", stop_after_one)
+        with pytest.raises(RuntimeError):
+            store.compact()
+    assert store.state().version == version + 1 and store._unmerged_days() == merged[1:]
+    store.compact()
+    assert store._unmerged_days() == [] and len(_ids(store)) == 5
+    _assert_exact(store)
+
+
+def test_aligned_counts_read_no_raw_rows(spark, tmp_path):
+    store = stored(spark, tmp_path, *_spread(40, seed=4))
+    start = BASE - 4 * DAY
+    aligned = AggregateQuery(since=format_iso(start), until=format_iso(start + 3 * DAY), bucket="1h")
+    assert f"{store.root}/logs" not in explained(store.aggregate(aligned))
+    ragged = AggregateQuery(
+        since=format_iso(start + 5_000_000), until=format_iso(start + 3 * DAY), bucket="1h"
+    )
+    plan = explained(store.aggregate(ragged))
+    listed = {d.isoformat() for d in store.dates() if f"/logs/log_date={d.isoformat()}" in plan}
+    assert listed <= {format_iso(start)[:10]}
+
+
 def test_counts_of_a_stream(spark, tmp_path):
     """The bucket functions work on an unbounded frame as they do on a table."""
     rows = [(i, BASE + i * 20_000_000, "s", "info") for i in range(10)]

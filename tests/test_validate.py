@@ -117,7 +117,7 @@ def test_envelopes(spark):
         ('{"logs":3,"logs":[1]}', validate.ENTRY_NOT_AN_OBJECT),
     ]
     frame = requests(spark, *[b for b, _ in bodies])
-    checked = validate.check_requests(frame, NOW, IngestConfig(max_logs_per_batch=2, insert_chunk_size=1))
+    checked = validate.check_requests(frame, NOW, IngestConfig(max_logs_per_batch=2))
     found = {r["request_id"]: r["reason"] for r in checked.collect()}
     assert [found[i] for i in range(len(bodies))] == [reason for _, reason in bodies]
 
@@ -154,8 +154,8 @@ def test_accepted_rows_keep_five_fields(spark):
     ]
     rows = good.orderBy("index").select(F.to_json("attributes").alias("a"), "attributes_text")
     first, second = rows.collect()
-    assert json.loads(first["a"]) == {"user_id": "42", "region": "eu-west", "retries": 3}
-    assert first["attributes_text"] == {"user_id": "42", "region": "eu-west", "retries": "3"}
+    assert json.loads(first["a"]) == log()["attributes"]
+    assert first["attributes_text"] == {"user_id": "314", "berth": "north", "lifts": "12"}
     assert json.loads(second["a"]) == {} and second["attributes_text"] == {}
 
 
@@ -177,5 +177,24 @@ def test_rules_run_once(spark):
 def test_settings_must_be_positive(field):
     with pytest.raises(ValueError):
         IngestConfig(**{field: 0})
-    with pytest.raises(ValueError):
-        IngestConfig(insert_chunk_size=20_000)
+
+
+@pytest.mark.parametrize("tail", ["] garbage", "],[1", ",{}", ' ,{"logs":[]}', "]", "{}"])
+def test_anything_after_the_document_is_malformed(spark, tail):
+    sound = json.dumps({"logs": [log()]})
+    frame = requests(spark, sound + tail, sound + "  ")
+    found = {r["request_id"]: r["reason"] for r in validate.check_requests(frame, NOW).collect()}
+    assert found == {0: validate.MALFORMED, 1: None}
+
+
+def test_days_before_the_calendar_are_refused(spark):
+    first = "0001-01-01T00:00:00"
+    times = ["0000-06-01T00:00:00Z", f"{first}+05:00", f"{first}Z", f"{first}-05:00"]
+    refused = validate.TIMESTAMP_TOO_OLD
+    assert check(spark, *[log(timestamp=t) for t in times]) == [refused, refused, None, None]
+
+
+def test_lists_in_reasons(spark):
+    levels = [[["a"], 1], [None, [None, [2.5, True]]], [], [[[[1, 2]]]]]
+    shown = ["a,1", ",,2.5,true", "", "[1,2]"]
+    assert check(spark, *[log(level=v) for v in levels]) == [f"invalid level: '{t}'" for t in shown]
