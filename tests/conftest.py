@@ -58,7 +58,7 @@ def check(spark, *entries, config=None, now=NOW):
     """Reasons of the entries of one request, in order."""
     frame = requests(spark, {"logs": list(entries)})
     checked = validate.check_requests(frame, now, config or IngestConfig())
-    return [r["reason"] for r in checked.orderBy("index").collect()]
+    return [r["reason"] for r in checked.orderBy("index").select("reason").collect()]
 
 
 def stored(spark, path, *entries, **options):
