@@ -159,20 +159,22 @@ def fingerprint_links(prints: DataFrame, radius: int, block: int = BLOCK) -> Dat
 
 def _grouped(
     documents: DataFrame, words: int, radius: int, doc_id: str, text: str, columns: list[str] | None
-) -> DataFrame:
-    """Stored rows with ``__row, __fp`` and the ``__group`` of their fingerprint.
+) -> tuple[DataFrame, DataFrame]:
+    """Stored rows with ``__row, __fp``, and per group and fingerprint its first row.
 
     The rows are stored because they are read three times and their numbers must not change.
+    First is the smallest id, a null id last, and of equal ids the row read first.
     """
     rows = fingerprints(documents, words, text)
     rows = rows.select(*(columns or documents.columns), "__fp", F.monotonically_increasing_id().alias("__row"))
     rows = stored(rows, "prints")
-    classes = rows.select("__fp").distinct()
-    components = connected_components(fingerprint_links(classes, radius))
+    place = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), "__row")
+    classes = rows.groupBy("__fp").agg(F.min(place).alias("__first"))
+    components = connected_components(fingerprint_links(rows.select("__fp").distinct(), radius))
     components = components.select(F.col("node").alias("__fp"), F.col("component").alias("__other"))
     # A fingerprint without links is a group of its own.
-    rows = rows.join(components, "__fp", "left")
-    return rows.select(*rows.columns[:-1], F.coalesce("__other", "__fp").alias("__group"))
+    classes = classes.join(components, "__fp", "left")
+    return rows, classes.select("__fp", "__first", F.coalesce("__other", "__fp").alias("__group"))
 
 
 def near_duplicates(
@@ -187,10 +189,12 @@ def near_duplicates(
 
     ``component_id`` is the smallest id reachable through links, the document's own included.
     """
-    rows = _grouped(documents, words, radius, doc_id, text, columns)
-    smallest = rows.groupBy("__group").agg(F.min(doc_id).alias("__smallest"))
-    return rows.join(smallest, "__group").select(
-        *other_columns(rows, "fingerprint", "component_id", "__fp", "__row", "__group"),
+    rows, classes = _grouped(documents, words, radius, doc_id, text, columns)
+    first = classes.groupBy("__group").agg(F.min("__first").alias("__smallest"))
+    named = classes.join(first, "__group").select("__fp", F.col("__smallest.id").alias("__smallest"))
+    # A table, so that the join below has plain sides and can split a fingerprint of many rows.
+    return rows.join(stored(named, "named"), "__fp").select(
+        *other_columns(rows, "fingerprint", "component_id", "__fp", "__row"),
         F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"),
         F.col("__smallest").alias("component_id"),
     )
@@ -200,8 +204,7 @@ def first_of_each_group(
     documents: DataFrame, words: int, radius: int, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One document of each group: the one with the smallest id; a null id only if all are."""
-    rows = _grouped(documents, words, radius, doc_id, text, None)
-    place = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("__row"))
-    kept = rows.groupBy("__group").agg(F.min(place).alias("__place"))
-    kept = kept.select(F.col("__place.__row").alias("__row"))
+    rows, classes = _grouped(documents, words, radius, doc_id, text, None)
+    kept = classes.groupBy("__group").agg(F.min("__first").alias("__first"))
+    kept = kept.select(F.col("__first.__row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*documents.columns)
