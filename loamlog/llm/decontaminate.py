@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import ascii_lower, digest, other_columns
+from loamlog.llm.common import ascii_lower, digest, other_columns, stored
 
 WINDOW = 10
 RUN = 5
@@ -169,7 +169,8 @@ def decontaminate(
     hits = places.groupBy("key").agg(covered.alias("__n_hit"))
     items = spans.select("key", "item").distinct().groupBy("key")
     items = items.agg(F.array_sort(F.collect_list("item")).alias("__items"))
-    hits = hits.join(items, "key").withColumnRenamed("key", "__key")
+    # A table, so that the join below has plain sides and can split a text with many copies.
+    hits = stored(hits.join(items, "key").withColumnRenamed("key", "__key"), "hits")
     rows = documents.select(
         "*",
         digest(F.col(text)).alias("__key"),
