@@ -3,25 +3,50 @@
 Both kinds of tokenizer files used here cut a text into pieces before they merge, and no
 piece reaches from a sign that is not white space over white space. A text can therefore be
 encoded as the pieces between such places, each distinct piece once: most of a corpus is
-looked up. White space is Unicode's own list, written out because Python's ``\\s`` has more.
+looked up. An ASCII text is cut by the file's own rule, which for ASCII is the same in every
+regular expression library; other texts at white space, which is Unicode's own list, written
+out because Python's ``\\s`` has more.
 Null texts count as empty; strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_pieces = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
-#: Pieces remembered by a worker process; beyond that it starts anew.
-REMEMBERED = 800_000
+_at_space = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
+# The rules of the two kinds of files, with ASCII's letters, digits and space.
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_BYTE_LEVEL = re.compile(
+    rf"{_SHORT}| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r 0-9A-Za-z]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+).findall
+_LOWER_WORDS = re.compile(rf"{_SHORT}|[a-z]+|[0-9]|[^\t-\r 0-9a-z]+").findall
+_SPACE_SIGN = "\u0120"  # how byte-level files write a space
+_LOWER_RULE = rf"{_SHORT}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"
+#: Pieces after which a worker process starts anew.
+REMEMBERED = 1_000_000
 #: Characters looked up at a time.
 _SLAB = 1 << 21
 
 
+class _Numbers(dict):
+    """Numbers pieces in the order they are first asked for; ``new`` lists those since cleared."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
 class Encoder:
     """``encode`` turns texts into one array of ids and a count per text."""
 
@@ -31,39 +56,80 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        self._ascii = self._ascii_rule()
+        self._ruled = self._ascii is not _at_space
+        self._merged = self._tokenizer.model.tokenize
         self._forget()
 
+    def _ascii_rule(self):
+        """How an ASCII text is cut, read from the file; at white space if it has another rule."""
+        file = json.loads(self._tokenizer.to_str())
+        cut, before = file["pre_tokenizer"] or {}, file["normalizer"] or {}
+        if cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not before:
+            return _BYTE_LEVEL
+        rules = [c.get("pattern", {}).get("Regex") for c in cut.get("pretokenizers", [])]
+        if rules[:1] == [_LOWER_RULE] and "Lowercase" in [n["type"] for n in before.get("normalizers", [])]:
+            return lambda text: _LOWER_WORDS(text.lower())
+        return _at_space
+
+    def _pieces(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if text.isascii():
+            return self._ascii(text)
+        pieces: list[str] = []
+        for part in _at_space(text):
+            if part.isascii():
+                pieces += self._ascii(part)
+            else:
+                pieces.append(part)
+        return pieces
+
     def _forget(self) -> None:
-        self._index: dict[str, int] = {}
+        self._index = _Numbers()
         self._ids = np.zeros(1 << 16, np.uint32)
         self._starts = np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _ids_of(self, pieces: list[str]) -> tuple[list[int], list[int]]:
+        """Ids and their numbers; the whole tokenizer's way."""
+        if not pieces:
+            return [], []
         found = self._tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, np.uint32)
-        counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces))
+        places = np.array(found.word_ids, np.int64)
+        return found.ids, np.bincount(places, minlength=len(pieces)).tolist()
+
+    def _learn(self, pieces: list[str]) -> None:
+        # A printable ASCII piece that the file's own rule cut needs its merges alone.
+        whole = [i for i, p in enumerate(pieces) if not (self._ruled and p.isascii() and p.isprintable())]
+        found, numbers = self._ids_of([pieces[i] for i in whole])
+        ids_of, counts_of = iter(found), dict(zip(whole, numbers))
+        ids: list[int] = []
+        counts = []
+        for i, piece in enumerate(pieces):
+            if i in counts_of:
+                own = list(islice(ids_of, counts_of[i]))
+            else:
+                own = [token.id for token in self._merged(piece.replace(" ", _SPACE_SIGN))]
+            ids += own
+            counts.append(len(own))
         used = int(self._starts[-1])
         if used + len(ids) > len(self._ids):
             grown = np.zeros(2 * (used + len(ids)), np.uint32)
             grown[:used] = self._ids[:used]
             self._ids = grown
         self._ids[used : used + len(ids)] = ids
-        first = len(self._index)
-        self._index.update(zip(pieces, range(first, first + len(pieces))))
         self._starts = np.append(self._starts, used + np.cumsum(counts))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        pieces = [_pieces(t) if t else [] for t in texts]
-        distinct = set().union(*pieces)
-        new = distinct.difference(self._index)
-        if new and len(self._index) + len(new) > REMEMBERED:
+        if len(self._index) > REMEMBERED:
             self._forget()
-            new = distinct
-        if new:
-            self._learn(list(new))
-        look = self._index.__getitem__
+        pieces = [self._pieces(t) for t in texts]
         counts = np.array([len(p) for p in pieces], np.int64)
-        slots = np.fromiter((look(x) for p in pieces for x in p), np.int64, int(counts.sum()))
+        asked = map(self._index.__getitem__, chain.from_iterable(pieces))
+        slots = np.fromiter(asked, np.int64, int(counts.sum()))
+        if self._index.new:
+            self._learn(self._index.new)
+            self._index.new = []
         first = self._starts[slots]
         size = self._starts[slots + 1] - first
         ends = np.cumsum(size)

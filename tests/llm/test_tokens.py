@@ -43,11 +43,24 @@ def test_pieces_give_the_same_ids(plains, name):
         assert [f.tolist() for f in found] == [[*plains[name](t), 7] for t in texts]
 
     check()
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(st.sampled_from(" \n\t\v\x1caBsStTrevVmlLd'',.-!12") | st.characters(max_codepoint=127), max_size=60))
+    def check_ascii(text):
+        (found,) = tokens.encoded([text], public_tokenizers.path(name), 7)
+        assert found.tolist() == [*plains[name](text), 7]
+
+    check_ascii()
     odd = ["<|endoftext|> a", "it's I'LL  we've", "a\n\n\n b", " \u0338x", "\x1c\x1c!a", None, ""]
     found = list(tokens.encoded(odd, public_tokenizers.path(name), 7))
     assert [f.tolist() for f in found] == [[*plains[name](t), 7] for t in odd]
 
 
+def test_the_files_rules_are_known():
+    assert tokens.Encoder(public_tokenizers.path(FILES[0]))._ascii is tokens._BYTE_LEVEL
+    assert tokens.Encoder(public_tokenizers.path(FILES[1]))._ascii("It's") == ["it", "'s"]
+
+
 def test_the_memory_is_bounded(plains, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     own = tokens.Encoder(public_tokenizers.path(FILES[0]))
