@@ -176,10 +176,9 @@ class RangeSplit:
 
 
 def split_range(since: int, until: int) -> RangeSplit:
-    if since >= until:
-        return RangeSplit((), None)
-    first, last = ceil_minute(since), floor_minute(until)
-    if first >= last:
-        return RangeSplit(((since, until),), None)
-    around = ((since, first), (last, until))
-    return RangeSplit(tuple(r for r in around if r[0] < r[1]), (first, last))
+    """The middle is the range's whole minutes, the edges are the range without the middle."""
+    whole = range(ceil_minute(since), floor_minute(until), MINUTE)
+    middle = (whole.start, whole.stop) if whole else None
+    cuts = [since, *(middle or ()), until]
+    edges = zip(cuts[::2], cuts[1::2])  # what lies before the middle, and behind it
+    return RangeSplit(tuple((a, b) for a, b in edges if a < b), middle)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamlog.session import ensure_checkpoint_dir
+from loamlog.session import scratch_table
 
 # monotonically_increasing_id keeps the partition above bit 33 and the row below it.
 _ROW_BITS = 33
@@ -42,18 +42,17 @@ def ordered(df: DataFrame, order_by: Sequence[Column]) -> DataFrame:
     """Range-partitioned, sorted and cut from its lineage.
 
     The sampled range bounds differ between two runs of one plan, so the layout is
-    checkpointed before anything depends on it. ``order_by`` must be a total order,
+    written down, places included, before anything depends on it. ``order_by`` must be a total order,
     which also lets a hot value spread over several ranges.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     laid_out = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    return _placed(laid_out).checkpoint()
+    return scratch_table(_placed(laid_out), "ordered")
 
 
 def number_in_place(placed: DataFrame, name: str = "id", start: int = 1) -> DataFrame:
     """Dense numbers in the current partition and row order.
 
-    ``placed`` must come from ``ordered`` or ``placed_as_read``.
+    ``placed`` must come from ``ordered``.
     """
     offsets = _before_chunk(placed, F.count(F.lit(1)))
     return (
@@ -64,11 +63,6 @@ def number_in_place(placed: DataFrame, name: str = "id", start: int = 1) -> Data
     )
 
 
-def placed_as_read(df: DataFrame) -> DataFrame:
-    """Remember each row's place in the input order, which must be the same on every read."""
-    return _placed(df)
-
-
 def number_by_source(
     rows: DataFrame, source: Sequence[str], line: str, name: str = "id", start: int = 1
 ) -> DataFrame:

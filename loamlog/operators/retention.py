@@ -13,6 +13,7 @@ from loamlog.operators import filters
 from loamlog.operators.ordering import assign_ids, nth_bucket
 from loamlog.operators.rollup import minute_rollup
 from loamlog.schema import ROLLUP_KEYS, RetentionConfig
+from loamlog.session import temporary_scratch
 
 
 def cutoff(now: int, config: RetentionConfig) -> int:
@@ -76,8 +77,9 @@ def find_boundary(
         within -= skipped
         end = min(start + width, before)
     minute = filters.apply(old, filters.in_time(old, start, end)).select("timestamp", "id")
-    ranked = assign_ids(minute, [F.col("timestamp").asc(), F.col("id").asc()], name="rank")
-    last = ranked.where(F.col("rank") == within).select(micros.alias("at"), "id").first()
+    with temporary_scratch(logs.sparkSession):
+        ranked = assign_ids(minute, [F.col("timestamp").asc(), F.col("id").asc()], name="rank")
+        last = ranked.where(F.col("rank") == within).select(micros.alias("at"), "id").first()
     return Boundary(before) if last is None else Boundary(last["at"], last["id"])
 
 

@@ -13,7 +13,7 @@ from loamlog.functions.timestamps import MINUTE, iso_timestamp
 from loamlog.functions.variants import attributes_text, display_text, kind, longer_than
 from loamlog.schema import LEVELS, IngestConfig
 
-# Reasons reported to clients.
+# Reasons reported to clients, here and, with a limit in them, at their rules.
 MALFORMED = "malformed JSON"
 NOT_AN_OBJECT = "request body must be an object"
 NO_LOGS = "request body must contain a logs array"

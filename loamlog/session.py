@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SCRATCH = threading.local()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -44,7 +48,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable without overriding the cluster's choice."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def scratch_table(frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder: no lineage, nothing to recompute.
+
+    The files stay until ``clear_scratch``, or the end of an enclosing ``temporary_scratch``.
+    """
+    path = scratch_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    _created().append(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def _created() -> list[str]:
+    if not hasattr(_SCRATCH, "paths"):
+        _SCRATCH.paths = []
+    return _SCRATCH.paths
+
+
+def clear_scratch(spark: SparkSession, keep: int = 0) -> None:
+    """Delete this thread's scratch tables; frames that read them are of no use afterwards."""
+    for path in _created()[keep:]:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+    del _created()[keep:]
+
+
+@contextmanager
+def temporary_scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end, when their results have been used."""
+    keep = len(_created())
+    try:
+        yield
+    finally:
+        clear_scratch(spark, keep)
