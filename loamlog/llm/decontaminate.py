@@ -36,6 +36,16 @@ def _runs(words: Column, length: int, size: Column) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.slice(words, i, length)))
 
 
+def _every_run(length: int, size: Column) -> Column:
+    """(place, length, hash) of all runs of a short item's length."""
+    return F.transform(
+        _runs(F.col("words"), length, size),
+        lambda h, i: F.struct(
+            (i + 1).alias("place"), F.lit(length).alias("length"), h.alias("hash")
+        ),
+    )
+
+
 def _with_kept(frame: DataFrame, short_lengths: list[int]) -> DataFrame:
     """Adds ``kept``: array of (place, length of the window looked for, hash).
 
@@ -65,14 +75,7 @@ def _with_kept(frame: DataFrame, short_lengths: list[int]) -> DataFrame:
         )
     ]
     for length in short_lengths:
-        kept.append(
-            F.transform(
-                _runs(F.col("words"), length, size),
-                lambda h, i, length=length: F.struct(
-                    (i + 1).alias("place"), F.lit(length).alias("length"), h.alias("hash")
-                ),
-            )
-        )
+        kept.append(_every_run(length, size))
     none = F.array().cast("array<struct<place:int,length:int,hash:bigint>>")
     return frame.withColumn("kept", F.concat(*[F.coalesce(k, none) for k in kept]))
 
@@ -111,15 +114,15 @@ def contaminated_spans(
         .select("length", "hash")
         .distinct()
     )
-    if item_hashes.count() <= BROADCAST_HASHES:
-        item_hashes = F.broadcast(item_hashes)
-
     texts = documents.select(digest(F.col(text)).alias("key"), words_of(F.col(text)).alias("words"))
-    found = (
-        _with_kept(texts, short)
-        .select("key", "words", F.inline_outer("kept"))
-        .join(item_hashes, ["length", "hash"], "left_semi")
-    )
+    kept = _with_kept(texts, short).select("key", "words", F.inline_outer("kept"))
+    if item_hashes.count() <= BROADCAST_HASHES:
+        found = kept.join(F.broadcast(item_hashes), ["length", "hash"], "left_semi")
+    else:
+        # The words stay behind: they would go through the shuffle once per kept hash.
+        hits = kept.drop("words").join(item_hashes, ["length", "hash"], "left_semi")
+        hits = hits.groupBy("key").agg(F.collect_set(F.struct("place", "length")).alias("hits"))
+        found = texts.join(hits, "key").select("key", "words", F.inline_outer("hits"))
     first = F.when(F.col("length") == WINDOW, F.greatest(F.lit(1), F.col("place") - (WINDOW - RUN)))
     first = F.coalesce(first, F.col("place"))
     last = F.least(F.col("place"), F.size("words") - F.col("length") + 1)
