@@ -51,12 +51,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def scratch_table(frame: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder: no lineage, nothing to recompute.
 
-    The files stay until ``clear_scratch``, or the end of an enclosing ``temporary_scratch``.
+    The files stay until ``release`` or ``clear_scratch``, or the end of an enclosing
+    ``temporary_scratch``.
     """
     path = scratch_path(frame.sparkSession, label)
     frame.write.parquet(path)
     _created().append(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    found = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    found.scratch = path
+    return found
+
+
+def release(table: DataFrame) -> None:
+    """Delete the files of one scratch table that nothing reads any more."""
+    _delete(table.sparkSession, table.scratch)
+    if table.scratch in _created():
+        _created().remove(table.scratch)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def _created() -> list[str]:
@@ -68,8 +83,7 @@ def _created() -> list[str]:
 def clear_scratch(spark: SparkSession, keep: int = 0) -> None:
     """Delete this thread's scratch tables; frames that read them are of no use afterwards."""
     for path in _created()[keep:]:
-        found = spark._jvm.org.apache.hadoop.fs.Path(path)
-        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+        _delete(spark, path)
     del _created()[keep:]
 
 
