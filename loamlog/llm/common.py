@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.session import scratch_path
+from loamlog.session import release, scratch_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,17 +16,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """The frame, written to the shared folder and read back: no lineage, no lost blocks."""
-    path = scratch_path(frame.sparkSession, label)
-    frame.write.parquet(path)
-    found = frame.sparkSession.read.schema(frame.schema).parquet(path)
-    found.scratch = path
-    return found
+    return scratch_table(frame, label)
 
 
 def forget(frame: DataFrame) -> None:
     """Delete the files behind a frame made by ``stored`` that nothing reads any more."""
-    path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.scratch)
-    path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    release(frame)
 
 
 def ascii_lower(text: Column) -> Column:
