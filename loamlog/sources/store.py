@@ -520,11 +520,12 @@ class LogStore:
                 state.next_id,
             ).drop(*_SOURCE, "_at", "request_id", "index", "arrival")
             traced = self._traced(checked)
+            day = F.to_date("timestamp")
             sizes = checked.agg(
                 F.count_if(F.col("reason").isNull()).alias("accepted"),
                 F.count_if(F.col("reason").isNotNull()).alias("rejected"),
+                F.collect_set(F.when(F.col("reason").isNull(), day)).alias("days"),
             ).first()
-            day = F.to_date("timestamp")
             rows = keyed.withColumn("log_date", day)
             counts = minute_rollup(good.withColumn("log_date", day))
             letters = validate.rejected(traced).write.mode("overwrite")
@@ -533,11 +534,9 @@ class LogStore:
             writes: list[Callable[[], None]] = [
                 lambda: reports.parquet(f"{self.root}/reports/batch_id={batch_id}")
             ]
-            found: list[Row] = []
             if sizes["accepted"]:
                 writes.append(lambda: self._write_logs(rows, batch_id, list(hot)))
                 writes.append(lambda: self._write_rollup(counts, batch_id))
-                writes.append(lambda: found.extend(rows.select("log_date").distinct().collect()))
             if sizes["rejected"]:
                 writes.append(lambda: letters.parquet(f"{self.root}/rejected/batch_id={batch_id}"))
             _together(writes)
@@ -552,7 +551,7 @@ class LogStore:
             state.after(
                 batch_id,
                 next_id=state.next_id + sizes["accepted"],
-                days=tuple(sorted({*state.days, *(r["log_date"].isoformat() for r in found)})),
+                days=tuple(sorted({*state.days, *(d.isoformat() for d in sizes["days"])})),
                 streams=streams,
                 hot=hot,
             )
