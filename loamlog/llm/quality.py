@@ -124,21 +124,24 @@ def fit(texts: list[str], labels: np.ndarray, totals: dict[int, int], terms=TERM
     if not texts:
         empty = np.zeros((0, 1), np.float32)
         return Model(np.zeros((terms, 1), np.float32), empty, np.zeros(0), np.zeros(0), share, neighbours)
-    x = np.zeros((len(texts), terms), np.float32)
+    # One dense matrix, changed in place: sample * terms * 4 bytes are all the driver needs.
+    x, holding = np.zeros((len(texts), terms), np.float32), np.zeros(terms)
     for i, text in enumerate(texts):
         columns, counts = term_counts(text, terms)
         x[i, columns] = 1 + np.log(counts)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
-    idf = idf.astype(np.float32)
-    weighted = _rows_of_length_one(x * idf)
+        holding[columns] += 1
+    idf = (np.log((1 + len(x)) / (1 + holding)) + 1).astype(np.float32)
+    x *= idf
+    length = np.sqrt(np.einsum("ij,ij->i", x, x))
+    x /= np.where(length > 0, length, 1)[:, None].astype(np.float32)
     rank = min(rank, len(x), terms)
     basis = np.random.default_rng(0).normal(size=(terms, rank + 8)).astype(np.float32)
     for _ in range(5):
-        basis, _ = np.linalg.qr(weighted.T @ (weighted @ basis))
-    _, _, turn = np.linalg.svd(weighted @ basis, full_matrices=False)
+        basis, _ = np.linalg.qr(x.T @ (x @ basis))
+    _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
     directions = (basis @ turn.T)[:, :rank]
     projection = (idf[:, None] * directions).astype(np.float32)
-    vectors = _rows_of_length_one(x @ projection)
+    vectors = _rows_of_length_one(x @ directions).astype(np.float32)
     taken = Counter(labels.tolist())
     weights = np.array([totals[v] / taken[v] for v in labels.tolist()], float)
     return Model(projection, vectors, labels.astype(float), weights / weights.max(), share, neighbours)
