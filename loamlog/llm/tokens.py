@@ -29,7 +29,7 @@ _LOWER_WORDS = re.compile(rf"{_SHORT}|[a-z]+|[0-9]|[^\t-\r 0-9a-z]+").findall
 _SPACE_SIGN = "\u0120"  # how byte-level files write a space
 _LOWER_RULE = rf"{_SHORT}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"
 #: Pieces after which a worker process starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Characters looked up at a time.
 _SLAB = 1 << 21
 
