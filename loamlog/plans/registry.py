@@ -442,10 +442,24 @@ def store_filter_late_hot(spark, sf_dir):
 
 
 def _dropped(requests: DataFrame, folder: str, *parts: Column) -> None:
-    """Request lines as one file per part, written one after the other."""
+    """Request lines as files per part, by ranges of the id; the parts one after the other.
+
+    Arrival goes by modification time, then name: the files of a part, which tasks end in any
+    order, get one time, a second after the part before, and their names ascend with the ids.
+    """
+    spark = requests.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known, time = set(), 0
     for part in parts:
-        lines = requests.where(part).orderBy("request_id").select("body")
-        lines.coalesce(1).write.mode("append").text(folder)
+        lines = requests.where(part).repartitionByRange("request_id").sortWithinPartitions("request_id")
+        lines.select("body").write.mode("append").text(folder)
+        found = [f for f in files.listStatus(path) if f.getPath().getName().startswith("part-")]
+        found = {f.getPath().getName(): f for f in found if f.getPath().getName() not in known}
+        time = time + 1000 if time else max((f.getModificationTime() for f in found.values()), default=0)
+        for f in found.values():
+            files.setTimes(f.getPath(), time, -1)
+        known |= found.keys()
 
 
 @_query()

@@ -10,6 +10,7 @@ from loamlog.operators import filters, search
 from loamlog.operators.aggregate import aggregate, aggregate_raw, export_buckets
 from loamlog.operators.rollup import merge_rollups, minute_rollup
 from loamlog.operators.search import paginate
+from loamlog.plans import registry
 from loamlog.plans.params import AggregateQuery, LogQuery
 from tests.conftest import BASE, at, explained, log, stored
 
@@ -232,3 +233,17 @@ def test_counts_of_empty_range(store):
     empty = store.aggregate(AggregateQuery(since=at(0), until=at(0), bucket="1m"))
     assert empty.columns == ["start", "group", "count"] and empty.collect() == []
     assert to_micros(at(0)) == BASE
+
+
+def test_dropped_parts_are_shared_out_and_arrive_in_order(spark, tmp_path):
+    requests = spark.range(3000).selectExpr("id AS request_id", "CAST(id AS string) AS body")
+    turn = requests["request_id"] % 10
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        registry._dropped(requests, str(tmp_path / "in"), turn == 3, turn > 3, turn < 3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "in").glob("part-*"), key=lambda f: (f.stat().st_mtime_ns, f.name))
+    assert len(files) > 3
+    found = [int(line) for f in files for line in f.read_text().split()]
+    assert found == sorted(range(3000), key=lambda i: (0 if i % 10 == 3 else 1 if i % 10 > 3 else 2, i))
