@@ -62,8 +62,11 @@ _NAMES = frozenset(
 )
 _HEADERS = frozenset(("header", "banner", "masthead"))
 
+#: Tags with quotes that never close, after which a page's tags end at the first ``>``: each such
+#: tag is read to the end of the page.
+_OPEN_QUOTES = 64
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -140,11 +143,18 @@ def _lines(html: str) -> _Lines:
         own -= was_own
 
     at, size = 0, len(html)
+    last, open_quotes = html.rfind(">"), 0
     while at < size:
         low = html.find("<", at)
         if low < 0:
             break
-        token = _TOKEN.match(html, low) or _LOOSE.match(html, low)
+        token = None
+        if low < last or html.startswith("<!--", low):
+            if open_quotes < _OPEN_QUOTES:
+                token = _TOKEN.match(html, low)
+            if token is None:
+                token = _LOOSE.match(html, low)
+                open_quotes += token is not None
         if token is None:  # a plain sign
             lines.add(html[at : low + 1], linked)
             at = low + 1
@@ -250,8 +260,8 @@ def main_text(html: str | None) -> str:
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """The pages without their html, with ``text`` and ``n_chars``."""
     kept = other_columns(pages, html, *ADDED)
-    rows = pages.select(*kept, F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("__html"))
-    schema = rows.drop("__html").schema.add("text", "string").add("n_chars", "long")
+    rows = pages.select(*kept, F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias(html))
+    schema = rows.drop(html).schema.add("text", "string").add("n_chars", "long")
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:

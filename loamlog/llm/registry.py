@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from loamlog.llm import (
     covertree,
     decontaminate,
+    hardnegatives,
     hpylm,
+    htmltext,
     idfiles,
     linededup,
     packing,
+    periodic,
     quality,
     sharding,
     simhash,
@@ -141,3 +144,48 @@ def op1_hpylm(spark, sf_dir):
     """Base and model scores of every document, a tenth of them held out."""
     documents = read_table(spark, sf_dir, "documents")
     return hpylm.score_documents(documents, in_fold(F.col("doc_id"), 10))
+
+
+@_query
+def op11_hard_negatives(spark, sf_dir):
+    """Five negatives for each of the five positives of every hundredth vector."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", moved)
+    return hardnegatives.mine_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def _planted(doc_id, text):
+    """A tenth of the texts, from some word on, made of copies of the words that stand there."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), 0)
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size(words)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    copies = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.concat_ws(" ", F.slice(words, F.lit(1), a), F.slice(copies, F.lit(1), n - a))
+    return F.when((h % 10 == 0) & (n > 0), changed).otherwise(text)
+
+
+@_query
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of every text, a tenth of them made periodic."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = documents.withColumn("text", _planted(F.col("doc_id"), F.col("text")))
+    return periodic.collapse_runs(documents).select(
+        "doc_id",
+        "n_runs",
+        "start",
+        "length",
+        "period",
+        "exponent_milli",
+        F.sha2("runs", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@_query
+def op13_html_text(spark, sf_dir):
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract_text(pages)
