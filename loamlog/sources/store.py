@@ -32,6 +32,7 @@ from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark import StorageLevel
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,7 @@ from loamlog.session import configure
 _EPOCH = date(1970, 1, 1)
 _CLAIMS_KEPT = 1_000
 _ROW_BITS = 33  # of monotonically_increasing_id
+_LINEAGE_KEPT = 256
 _SOURCE = ("_modified", "_file", "_start")
 #: One writing job at a time per store and driver: ingestion and maintenance take turns.
 _WRITING: dict[str, threading.RLock] = defaultdict(threading.RLock)
@@ -119,11 +121,14 @@ class State:
     hot: dict[str, int] = field(default_factory=dict)
     floors: dict[str, int] = field(default_factory=dict)
     cuts: tuple[Cut, ...] = ()
+    #: Who published the latest versions, this one last.
+    lineage: tuple[str, ...] = ()
 
     @classmethod
     def parse(cls, text: str) -> State:
         data = json.loads(text)
         data.pop("writer", None)
+        data["lineage"] = tuple(data.get("lineage", ()))
         data["cuts"] = tuple(Cut(**c) for c in data["cuts"])
         data["days"], data["void"] = tuple(data["days"]), tuple(data["void"])
         return cls(**data)
@@ -174,10 +179,16 @@ class LogStore:
         return [found.getPath().getName() for found in self._glob(pattern)]
 
     def state(self) -> State:
-        versions = sorted(self._names("_state/*.json"))
-        if not versions:
-            return State()
-        return State.parse(self._read_text(self._path(f"_state/{versions[-1]}")))
+        while True:
+            versions = sorted(self._names("_state/*.json"))
+            if not versions:
+                return State()
+            newest = self._path(f"_state/{versions[-1]}")
+            try:
+                return State.parse(self._read_text(newest))
+            except Py4JJavaError:
+                if self._fs.exists(newest):  # else newer versions replaced it meanwhile
+                    raise
 
     def _read_text(self, path) -> str:
         read_all = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString
@@ -213,11 +224,21 @@ class LogStore:
         return self._read_text(final) == text
 
     def _publish(self, state: State) -> State:
-        """Make a change visible, or fail because another writer published the version first."""
-        published = replace(state, version=state.version + 1)
-        own = {**asdict(published), "writer": uuid.uuid4().hex}  # no two attempts look alike
-        if not self._create(f"_state/{published.version:012d}.json", json.dumps(own)):
-            raise RuntimeError(f"another writer published version {published.version}")
+        """Make a change visible, or fail because another writer published the version first.
+
+        Old versions are deleted, so a slow writer may find its number free again. Then newer
+        versions exist that do not descend from its own.
+        """
+        writer = uuid.uuid4().hex  # no two attempts look alike
+        lineage = (*state.lineage[1 - _LINEAGE_KEPT :], writer)
+        published = replace(state, version=state.version + 1, lineage=lineage)
+        place = f"_state/{published.version:012d}.json"
+        taken = RuntimeError(f"another writer published version {published.version}")
+        if not self._create(place, json.dumps(asdict(published))):
+            raise taken
+        if writer not in self.state().lineage:
+            self._fs.delete(self._path(place), False)
+            raise taken
         for stale in self._glob("_state/*.json")[:-5]:
             self._fs.delete(stale.getPath(), False)
         return published

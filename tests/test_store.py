@@ -118,6 +118,48 @@ def test_unpublished_write_stays_invisible(spark, tmp_path, monkeypatch):
     _assert_exact(store)
 
 
+def test_writer_with_a_state_long_replaced_is_refused(spark, tmp_path):
+    """Its version number is free again, because old versions are deleted."""
+    store, slow = (LogStore(spark, str(tmp_path)) for _ in range(2))
+    old = slow.state()
+    acknowledged = [
+        store.ingest(requests(spark, {"logs": [log(message=f"of write {n}")]}), NOW).accepted for n in range(7)
+    ]
+    before = store.state()
+    assert not os.path.exists(f"{tmp_path}/_state/{old.version + 1:012d}.json")
+    slow.state = lambda: LogStore.state(slow) if slow.__dict__.get("late") else old
+    publish = slow._publish
+
+    def late(state):
+        slow.late = True
+        return publish(state)
+
+    slow._publish = late
+    with pytest.raises(RuntimeError, match="another writer"):
+        slow.ingest(requests(spark, {"logs": [log(message="too late")]}), NOW)
+    assert store.state() == before
+    shown = {r["message"] for r in store.logs().select("message").collect()}
+    assert sum(acknowledged) == 7 and shown == {f"of write {n}" for n in range(7)}
+    store.ingest(requests(spark, {"logs": [log(message="after it")]}), NOW)
+    assert store.logs().count() == 8
+
+
+def test_writer_overtaken_after_publishing_is_acknowledged(spark, tmp_path, monkeypatch):
+    """Newer versions that descend from its own keep its change."""
+    store, other = (LogStore(spark, str(tmp_path)) for _ in range(2))
+    create = store._create
+
+    def overtaken(relative, text):
+        made = create(relative, text)
+        for _ in range(9):
+            other._publish(other.state())
+        return made
+
+    monkeypatch.setattr(store, "_create", overtaken)
+    published = store._publish(store.state())
+    assert published.version == 1 and other.state().version == 10
+
+
 def test_second_writer_is_refused(spark, tmp_path, monkeypatch):
     store = stored(spark, tmp_path, log(message="a"))
     other = LogStore(spark, store.root)
