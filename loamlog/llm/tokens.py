@@ -6,7 +6,8 @@ encoded as the pieces between such places, each distinct piece once: most of a c
 looked up. An ASCII text is cut by the file's own rule, which for ASCII is the same in every
 regular expression library; other texts at white space, which is Unicode's own list, written
 out because Python's ``\\s`` has more.
-Null texts count as empty; strings of special tokens in a text are ordinary text.
+The strings of the file's added tokens are that token wherever a text holds them, as in the
+tokenizers library; they part the text before anything else. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -54,10 +55,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        # Longer strings first: of two that begin at one place the longer is meant.
+        self._added = sorted((t.content for t in added), key=len, reverse=True)
+        self._at_added = re.compile(f"({'|'.join(map(re.escape, self._added))})").split
+        #: Whether all are found in the text as it is, whatever stands beside them.
+        self._literal = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added)
         self._ascii = self._ascii_rule()
-        self._ruled = self._ascii is not _at_space
+        self._ruled = self._literal and self._ascii is not _at_space
         self._merged = self._tokenizer.model.tokenize
         self._forget()
 
@@ -75,6 +81,15 @@ class Encoder:
     def _pieces(self, text: str | None) -> list[str]:
         if not text:
             return []
+        if not self._literal:
+            return [text]
+        if any(a in text for a in self._added):
+            parts = self._at_added(text)
+            return [p for i, part in enumerate(parts) for p in ([part] if i % 2 else self._between(part))]
+        return self._between(text)
+
+    def _between(self, text: str) -> list[str]:
+        """Pieces of a text without added tokens."""
         if text.isascii():
             return self._ascii(text)
         pieces: list[str] = []
@@ -100,7 +115,9 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         # A printable ASCII piece that the file's own rule cut needs its merges alone.
-        whole = [i for i, p in enumerate(pieces) if not (self._ruled and p.isascii() and p.isprintable())]
+        added = set(self._added)
+        plain = [self._ruled and p.isascii() and p.isprintable() and p not in added for p in pieces]
+        whole = [i for i, own in enumerate(plain) if not own]
         found, numbers = self._ids_of([pieces[i] for i in whole])
         ids_of, counts_of = iter(found), dict(zip(whole, numbers))
         ids: list[int] = []

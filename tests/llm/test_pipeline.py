@@ -103,7 +103,6 @@ def test_decontamination(spark, steps):
 
 def test_packing(steps):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in steps[5]:
         pieces[r["doc_id"]].append(r)

@@ -25,7 +25,6 @@ SIGNS = st.sampled_from(" \n\t\r\v\x1c\x1f\x85\xa0\u1680\u2003\u3000\u0338\u0301
 
 def plain(name):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -56,6 +55,21 @@ def test_pieces_give_the_same_ids(plains, name):
     assert [f.tolist() for f in found] == [[*plains[name](t), 7] for t in odd]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_added_tokens_are_found_as_the_library_finds_them(plains, name):
+    added = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", " ", "\n", "a", "It's ", "\u00e9", "\u0301", "12"]
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(added), max_size=9).map("".join), max_size=4))
+    def check(texts):
+        found = list(tokens.encoded(texts, public_tokenizers.path(name), 7))
+        assert [f.tolist() for f in found] == [[*plains[name](t), 7] for t in texts]
+
+    check()
+    (found,) = tokens.encoded(["a <|endoftext|> b"], public_tokenizers.path(name), 7)
+    assert found.tolist()[-3] == {FILES[0]: 50256, FILES[1]: 49407}[name]
+
+
 def test_the_files_rules_are_known():
     assert tokens.Encoder(public_tokenizers.path(FILES[0]))._ascii is tokens._BYTE_LEVEL
     assert tokens.Encoder(public_tokenizers.path(FILES[1]))._ascii("It's") == ["it", "'s"]
