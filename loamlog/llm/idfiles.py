@@ -92,7 +92,7 @@ def write_ids(
 
         for batch in found:
             kind = batch.schema.field("id").type
-            texts = encoded(batch.column("text").to_pylist(), tokenizer, end)
+            texts = encoded(batch.column("text"), tokenizer, end)
             for name, ids in zip(batch.column("id").to_pylist(), texts):
                 names.append(name)
                 held.append(ids)

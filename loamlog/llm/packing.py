@@ -139,7 +139,7 @@ def pack_documents(
 
         for batch in found:
             id_type = batch.schema.field("id").type
-            ids_of = zip(batch.column("id").to_pylist(), encoded(batch.column("text").to_pylist(), tokenizer, end))
+            ids_of = zip(batch.column("id").to_pylist(), encoded(batch.column("text"), tokenizer, end))
             size = 0
             for name, ids in ids_of:
                 names[seen] = (name, len(ids))

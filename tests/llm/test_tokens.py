@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -18,7 +19,7 @@ FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 
 
 #: Kinds of white space, combining marks, contractions, special tokens, anything else.
-SIGNS = st.sampled_from(" \n\t\r\v\x1c\x1f\x85\xa0\u1680\u2003\u3000\u0338\u0301aB's3,\u00e9\u4e2d<|>") | st.characters(
+SIGNS = st.sampled_from(" \n\t\r\v\x1c\x1f\u2026\x85\xa0\u1680\u2003\u3000\u0338\u0301aB's3,\u00e9\u4e2d<|>") | st.characters(
     exclude_categories=["Cs"]
 )
 
@@ -38,7 +39,7 @@ def test_pieces_give_the_same_ids(plains, name):
     @settings(max_examples=300, deadline=None)
     @given(st.lists(st.text(SIGNS, max_size=40), max_size=4))
     def check(texts):
-        found = list(tokens.encoded(texts, public_tokenizers.path(name), 7))
+        found = list(tokens.encoded(pa.array(texts, pa.string()), public_tokenizers.path(name), 7))
         assert [f.tolist() for f in found] == [[*plains[name](t), 7] for t in texts]
 
     check()
@@ -46,12 +47,12 @@ def test_pieces_give_the_same_ids(plains, name):
     @settings(max_examples=300, deadline=None)
     @given(st.text(st.sampled_from(" \n\t\v\x1caBsStTrevVmlLd'',.-!12") | st.characters(max_codepoint=127), max_size=60))
     def check_ascii(text):
-        (found,) = tokens.encoded([text], public_tokenizers.path(name), 7)
+        (found,) = tokens.encoded(pa.array([text], pa.string()), public_tokenizers.path(name), 7)
         assert found.tolist() == [*plains[name](text), 7]
 
     check_ascii()
     odd = ["<|endoftext|> a", "it's I'LL  we've", "a\n\n\n b", " \u0338x", "\x1c\x1c!a", None, ""]
-    found = list(tokens.encoded(odd, public_tokenizers.path(name), 7))
+    found = list(tokens.encoded(pa.array(odd, pa.string()), public_tokenizers.path(name), 7))
     assert [f.tolist() for f in found] == [[*plains[name](t), 7] for t in odd]
 
 
@@ -62,11 +63,11 @@ def test_added_tokens_are_found_as_the_library_finds_them(plains, name):
     @settings(max_examples=400, deadline=None)
     @given(st.lists(st.lists(st.sampled_from(added), max_size=9).map("".join), max_size=4))
     def check(texts):
-        found = list(tokens.encoded(texts, public_tokenizers.path(name), 7))
+        found = list(tokens.encoded(pa.array(texts, pa.string()), public_tokenizers.path(name), 7))
         assert [f.tolist() for f in found] == [[*plains[name](t), 7] for t in texts]
 
     check()
-    (found,) = tokens.encoded(["a <|endoftext|> b"], public_tokenizers.path(name), 7)
+    (found,) = tokens.encoded(pa.array(["a <|endoftext|> b"], pa.string()), public_tokenizers.path(name), 7)
     assert found.tolist()[-3] == {FILES[0]: 50256, FILES[1]: 49407}[name]
 
 
@@ -79,9 +80,28 @@ def test_the_memory_is_bounded(plains, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     own = tokens.Encoder(public_tokenizers.path(FILES[0]))
     for texts in (["a b c d e f"], ["a g", "h"], []):
-        ids, counts = own.encode(texts)
-        assert ids.tolist() == [i for t in texts for i in plains[FILES[0]](t)]
-        assert counts.tolist() == [len(plains[FILES[0]](t)) for t in texts]
+        found = own.encode(pa.array(texts, pa.string()))
+        assert [ids.tolist() for ids in found] == [plains[FILES[0]](t) for t in texts]
+        assert not own._recent
+
+
+def test_what_was_asked_for_stays_in_memory(monkeypatch):
+    own = tokens.Encoder(public_tokenizers.path(FILES[0]))
+    learned = []
+    monkeypatch.setattr(own, "_learn", lambda pieces: learned.extend(pieces) or tokens.Encoder._learn(own, pieces))
+    monkeypatch.setattr(tokens, "REMEMBERED", 10 * (tokens._OVERHEAD + 7))
+    for turn in range(40):
+        own.encode(pa.array([f"often {turn} kept", " often"]))
+    assert learned.count(b"often") == learned.count(b" kept") == 1
+    assert len(own._recent) + len(own._older) < 30
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_slices_and_long_texts(plains, name):
+    texts = ["a b", None, "", "it's  x\u00e9's 12", "y " * 3_000_000, "\u2026's it", "z'", "s"]
+    array = pa.array(["first", *texts], pa.string()).slice(1)
+    found = list(tokens.encoded(array, public_tokenizers.path(name), 7))
+    assert [f.tolist() for f in found] == [[*plains[name](t), 7] for t in texts]
 
 
 def whole(rows, length):
