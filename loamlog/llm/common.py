@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +64,38 @@ def offsets_before(sums: DataFrame, place: str, value: str, name: str, group: st
     return sums.withColumn(name, F.coalesce(before, F.lit(0)).cast("long"))
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: Rows and bytes of a batch that a task's Python part holds at a time.
+_SLICE_ROWS, _SLICE_BYTES = 2_000, 8 << 20
+
+
+def _slices(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in found:
+        pieces = max(1, -(-batch.num_rows // _SLICE_ROWS), -(-batch.nbytes // _SLICE_BYTES))
+        rows = max(1, -(-batch.num_rows // pieces))
+        yield batch.slice(0, rows)
+        for low in range(rows, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def in_slices(batches: Batches) -> Batches:
+    """The function over small slices of its batches; freed memory goes back when a task ends.
+
+    Worker processes outlive their tasks, and what one keeps is missing for the next stage.
+    """
+
+    def sliced(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from batches(_slices(found))
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return sliced
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node on an edge; a component is its smallest node.
 

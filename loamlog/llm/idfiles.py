@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import offsets_before
+from loamlog.llm.common import in_slices, offsets_before
 from loamlog.llm.tokens import encoded, encoder
 
 BLOCK = 1 << 16
@@ -107,7 +107,7 @@ def write_ids(
     order = [F.col("id"), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     kind = rows.schema["id"].dataType.simpleString()
-    ordered.mapInArrow(batches, schema(kind)).write.parquet(path)
+    ordered.mapInArrow(in_slices(batches), schema(kind)).write.parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -140,4 +140,4 @@ def documents_of(blocks: DataFrame) -> DataFrame:
 
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     blocks = blocks.select("bits", "doc_ids", "ends", "payload", "start")
-    return blocks.mapInArrow(batches, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(in_slices(batches), f"doc_id {kind}, start long, n_tokens long, ids binary")

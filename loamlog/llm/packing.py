@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamlog.llm.common import in_slices
 from loamlog.llm.tokens import encoded
 
 LENGTH = 1024
@@ -154,4 +155,4 @@ def pack_documents(
             yield leave()
 
     rows = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(batches, SCHEMA.format(id=rows.schema["id"].dataType.simpleString()))
+    return rows.mapInArrow(in_slices(batches), SCHEMA.format(id=rows.schema["id"].dataType.simpleString()))

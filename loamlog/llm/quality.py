@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import other_columns
+from loamlog.llm.common import in_slices, other_columns
 
 TERMS = 1 << 13
 RANK = 48
@@ -202,4 +202,4 @@ def score_documents(documents: DataFrame, model: Model, text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*names, "score"])
 
     schema = frame.drop("__text").withColumn("score", F.lit(0.0)).schema
-    return frame.mapInArrow(batches, schema)
+    return frame.mapInArrow(in_slices(batches), schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import connected_components, forget, other_columns, stored
+from loamlog.llm.common import connected_components, forget, in_slices, other_columns, stored
 
 BITS = 64
 SEED = 42
@@ -70,7 +70,7 @@ def fingerprints(documents: DataFrame, words: int, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*columns, pa.array(signed)], [*names, "__fp"])
 
     schema = documents.withColumn("__fp", F.lit(0).cast("long")).schema
-    return documents.withColumn("__text", F.col(text).cast("string")).mapInArrow(batches, schema)
+    return documents.withColumn("__text", F.col(text).cast("string")).mapInArrow(in_slices(batches), schema)
 
 
 def masks(radius: int) -> list[int]:
