@@ -293,6 +293,10 @@ GROUP BY 1, 2, 3""",
 SELECT row_number() OVER (
   ORDER BY CASE WHEN id % 10 = 3 THEN 0 WHEN id % 10 > 3 THEN 1 ELSE 2 END, s.id) AS id,
   {_STORED_ROW} FROM s""",
+        "stream_row_limit": f"""{_STORED}
+SELECT row_number() OVER (
+  ORDER BY CASE WHEN id % 10 = 3 THEN 0 WHEN id % 10 > 3 THEN 1 ELSE 2 END, s.id) AS id,
+  true AS fits, {_STORED_ROW} FROM s""",
     }
     for group_by in (None, "service", "level"):
         for bucket in INTERVALS:

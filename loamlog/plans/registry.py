@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loamlog.functions.cursors import Cursor
 from loamlog.functions.timestamps import to_micros
@@ -22,7 +23,7 @@ from loamlog.operators.ordering import assign_ids
 from loamlog.operators.rollup import merge_rollups, minute_rollup
 from loamlog.operators.stats import latency_summary
 from loamlog.plans.params import AggregateQuery, LogQuery
-from loamlog.schema import BUCKETS, RetentionConfig
+from loamlog.schema import BUCKETS, IngestConfig, RetentionConfig
 from loamlog.session import configure, scratch_path
 from loamlog.sources.batches import read_requests, rows_from_arrays
 from loamlog.sources.events import (
@@ -441,6 +442,10 @@ def store_filter_late_hot(spark, sf_dir):
     return _plain(late.filter(LogQuery(attributes={"user_id": "42"})))
 
 
+#: Entries that a flush of the row-limited stream holds at most.
+FLUSH = 5_000
+
+
 def _dropped(requests: DataFrame, folder: str, *parts: Column) -> None:
     """Request lines as files per part, by ranges of the id; the parts one after the other.
 
@@ -497,6 +502,19 @@ def stream_two_inboxes(spark, sf_dir):
     return _plain(store.logs())
 
 
+@_query()
+def stream_row_limit(spark, sf_dir):
+    """A stream stored in flushes of at most FLUSH entries, in the order of arrival."""
+    folder = scratch_path(spark, "requests")
+    requests = clean_requests(read_table(spark, sf_dir, "events"))
+    turn = F.col("request_id") % 10
+    _dropped(requests, folder, turn == 3, turn > 3, turn < 3)
+    store = LogStore(spark, f"{folder}-store", IngestConfig(max_entries_per_flush=FLUSH))
+    _streamed(spark, folder, store, f"{folder}-progress")
+    fits = F.count("*").over(Window.partitionBy("batch_id")) <= FLUSH
+    return _plain(store.written().withColumn("fits", fits), "id", "fits")
+
+
 @_query()
 def stream_report(spark, sf_dir):
     """What the stream told about each request."""

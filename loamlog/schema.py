@@ -95,7 +95,8 @@ class IngestConfig:
     """Size limits of one request and its entries, and the micro-batch rhythm.
 
     A batch takes the files that have arrived, up to a number of files if one is given and
-    up to a number of bytes otherwise.
+    up to a number of bytes otherwise. With ``max_entries_per_flush`` a batch is stored in
+    flushes of at most so many entries, whole requests in the order of their arrival.
     """
 
     max_logs_per_batch: int = 10_000
@@ -107,6 +108,7 @@ class IngestConfig:
     flush_interval_ms: int = 50
     max_files_per_trigger: int | None = None
     max_bytes_per_trigger: int = 64 << 30
+    max_entries_per_flush: int | None = None
 
     def __post_init__(self) -> None:
         _require_positive(self)

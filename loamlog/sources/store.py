@@ -45,6 +45,7 @@ from loamlog.operators.maintenance import backfill_attributes_text
 from loamlog.operators.ordering import nth_bucket, number_by_source
 from loamlog.operators.rollup import merge_rollups, minute_rollup, negated
 from loamlog.plans.params import AggregateQuery, LogQuery
+from loamlog.sources.batches import with_split_line
 from loamlog.schema import (
     LOGS,
     PLACEMENT,
@@ -243,6 +244,13 @@ class LogStore:
             self._fs.delete(stale.getPath(), False)
         return published
 
+    def finish_epoch(self, stream: str, epoch: int) -> None:
+        """All writes of a stream up to the number are done, whether or not there were so many."""
+        with _WRITING[self.root]:
+            state = self.state()
+            if state.streams.get(stream, -1) < epoch:
+                self._publish(replace(state, streams={**state.streams, stream: epoch}))
+
     def _claim(self, state: State) -> int:
         """A write number of our own; the file system lets one creator win."""
         batch_id = state.last_batch + 1
@@ -344,6 +352,11 @@ class LogStore:
         days = self.dates(since, until, state) if days is None else days
         return self._rows(state, days).drop("batch_id")
 
+    def written(self) -> DataFrame:
+        """Visible rows with ``batch_id``, the write that each came with or was merged by."""
+        state = self.state()
+        return self._rows(state, self.dates(None, None, state))
+
     def _rows(self, state: State, days: Sequence[date]) -> DataFrame:
         hot = list(state.hot)
         rows = self._scan("logs", self._logs_schema(hot), state, days)
@@ -486,6 +499,7 @@ class LogStore:
         now: int | str,
         stream: str | None = None,
         epoch: int | None = None,
+        traced: bool = False,
     ) -> IngestResult:
         """Validate requests (``request_id``, ``body``) and store them as one atomic write.
 
@@ -494,9 +508,10 @@ class LogStore:
         written down first, in the order of their partitions, so that a lost task cannot come
         back with other rows. A streamed batch that was published before is recognised by
         ``stream``, the identity of its checkpoint, and its epoch; a replay changes nothing.
+        ``traced``: the lines in ``arrival`` count from the start of the split already.
         """
         with _WRITING[self.root]:
-            return self._ingest(requests, now, stream, epoch)
+            return self._ingest(requests, now, stream, epoch, traced)
 
     def _staged(self, requests: DataFrame, folder: str) -> DataFrame:
         place = F.monotonically_increasing_id()
@@ -511,7 +526,7 @@ class LogStore:
         return rows.withColumn("arrival", arrival).drop("_place")
 
     def _ingest(
-        self, requests: DataFrame, now: int | str, stream: str | None, epoch: int | None
+        self, requests: DataFrame, now: int | str, stream: str | None, epoch: int | None, traced: bool
     ) -> IngestResult:
         state = self.state()
         if stream is not None and epoch is not None and state.streams.get(stream, -1) >= epoch:
@@ -540,7 +555,7 @@ class LogStore:
                 "id",
                 state.next_id,
             ).drop(*_SOURCE, "_at", "request_id", "index", "arrival")
-            traced = self._traced(checked)
+            checked = checked if traced else with_split_line(checked)
             day = F.to_date("timestamp")
             sizes = checked.agg(
                 F.count_if(F.col("reason").isNull()).alias("accepted"),
@@ -549,8 +564,8 @@ class LogStore:
             ).first()
             rows = keyed.withColumn("log_date", day)
             counts = minute_rollup(good.withColumn("log_date", day))
-            letters = validate.rejected(traced).write.mode("overwrite")
-            reports = validate.ingest_report(traced, "request_id", "arrival")
+            letters = validate.rejected(checked).write.mode("overwrite")
+            reports = validate.ingest_report(checked, "request_id", "arrival")
             reports = reports.write.mode("overwrite")
             writes: list[Callable[[], None]] = [
                 lambda: reports.parquet(f"{self.root}/reports/batch_id={batch_id}")
@@ -579,24 +594,6 @@ class LogStore:
         )
         return IngestResult(batch_id, sizes["accepted"], sizes["rejected"])
 
-    @staticmethod
-    def _traced(checked: DataFrame) -> DataFrame:
-        """``arrival`` with the line counted from its split's first request."""
-        split = [
-            F.shiftrightunsigned("request_id", _ROW_BITS).alias("_task"),
-            F.coalesce("arrival.file", F.lit("")).alias("_from"),
-            F.col("arrival.start").alias("_begin"),
-        ]
-        keyed = checked.select("*", *split)
-        keys = ["_task", "_from", "_begin"]
-        first = keyed.groupBy(*keys).agg(F.min("arrival.line").alias("_first"))
-        line = F.col("arrival.line") - F.col("_first") + 1
-        return (
-            keyed.join(F.broadcast(first), keys)  # one row per task and split
-            .withColumn("arrival", F.col("arrival").withField("line", line))
-            .drop(*keys, "_first")
-        )
-
     def _write_logs(self, rows: DataFrame, batch_id: int, hot_keys: Sequence[str]) -> None:
         """Files of one time span each, so that a page opens few of them, sorted so that
         service and time skip row groups inside. Ranges also split hot days."""
