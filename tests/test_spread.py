@@ -30,6 +30,12 @@ def test_requests_of_one_row_group_are_made_by_all_cores(spark):
     assert mixed_requests(spread).agg(F.count_distinct("request_id")).first()[0] == 400
 
 
+def test_dealt_along_a_column_keeps_the_order(spark):
+    spread = dealt(_events(spark, 400), "event_id")
+    assert spread.rdd.getNumPartitions() > 1
+    assert [r["event_id"] for r in spread.collect()] == list(range(400))
+
+
 def test_rules_are_compiled_not_interpreted_in_the_generator(spark):
     checked = validate.check_requests(mixed_requests(_events(spark, 4)), NOW)
     inlined = [line for line in explained(checked).splitlines() if "inline(" in line]
