@@ -29,7 +29,7 @@ def test_query(spark, db, name):
 
 def test_every_operator_has_one_query():
     numbers = [int(n[2:].split("_")[0]) for n in contract.queries() if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in contract.queries()
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in contract.queries()
 
 
 def checked(spark, documents, items, **options):
