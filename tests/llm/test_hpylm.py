@@ -272,3 +272,18 @@ def test_entries_take_less_time_than_numbering_the_words_in_python():
     for flags in (None, held):
         blocks = lambda: list(hpylm._entries(texts, np.zeros(0, np.uint64), 8, flags))  # noqa: B023, E731
         assert min(seconds(blocks) for _ in range(3)) < plain
+
+
+def test_every_context_is_counted_wherever_it_stands(spark):
+    """Frequent in one task, a little less so in another, which has more words than it holds at once."""
+    rare = [" ".join(f"r{1000 * i + j}" for j in range(1000)) + " early" * 60 for i in range(700)]
+    texts = [(0, t) for t in rare] + [(1, "early late " * 400)] * 40 + [(1, None)]
+    size = sum(len((t or "").encode()) + 6 for _, t in texts)
+    buckets = -(-size // (6 * 500_000))
+    counts = Counter(u for _, t in texts for u in [None, *(t or "").split()])
+    least = counts.total() / (8 * buckets)
+    expected = [hpylm._hash(u.encode()) for u, n in counts.items() if n >= least]
+    frame = spark.createDataFrame(texts, "part int, text string").repartitionByRange(2, "part").select("text")
+    found, n = hpylm._hot_contexts(frame, 500_000)
+    assert n == buckets > 1
+    assert found.tolist() == expected == [hpylm._hash(b"early")]
