@@ -124,8 +124,10 @@ def fingerprint_links(prints: DataFrame, radius: int, block: int = BLOCK) -> Dat
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least(o, F.col("own")).alias("p"), F.greatest(o, F.col("own")).alias("q")),
     )
+    sizes = sizes.withColumn("blocks", F.when(F.col("n") <= 2 * block, 1).otherwise(blocks))
     dealt = (
-        keyed.join(sizes.withColumn("blocks", F.when(F.col("n") <= 2 * block, 1).otherwise(blocks)), ["t", "k"])
+        # Spark takes the keys for as few as the fingerprints they come from, and would broadcast them.
+        keyed.join(sizes.hint("merge"), ["t", "k"])
         .withColumn("own", own)
         .select("t", "k", "__fp", F.inline_outer(pairs))
         .withColumn("run", F.xxhash64("t", "k", "p", "q"))

@@ -85,3 +85,11 @@ def test_empty_table(spark):
     frame = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(frame, 4, 4).count() == 0
     assert simhash.first_of_each_group(frame, 4, 4).count() == 0
+
+
+def test_keys_of_all_tables_are_never_broadcast(spark):
+    """31 keys a fingerprint, which Spark sizes as the fingerprints alone."""
+    prints = spark.range(4000).select(F.xxhash64("id").alias("__fp")).distinct()
+    found = simhash.fingerprint_links(prints, 4)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
