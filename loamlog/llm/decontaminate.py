@@ -116,11 +116,13 @@ def contaminated_spans(
     )
     texts = documents.select(digest(F.col(text)).alias("key"), words_of(F.col(text)).alias("words"))
     kept = _with_kept(texts, short).select("key", "words", F.inline_outer("kept"))
-    if item_hashes.count() <= BROADCAST_HASHES:
+    few = item_hashes.count() <= BROADCAST_HASHES
+    if few:
         found = kept.join(F.broadcast(item_hashes), ["length", "hash"], "left_semi")
     else:
         # The words stay behind: they would go through the shuffle once per kept hash.
-        hits = kept.drop("words").join(item_hashes, ["length", "hash"], "left_semi")
+        # Spark takes the hashes for as few as the items, and would broadcast them; the windows, too.
+        hits = kept.drop("words").join(item_hashes.hint("merge"), ["length", "hash"], "left_semi")
         hits = hits.groupBy("key").agg(F.collect_set(F.struct("place", "length")).alias("hits"))
         found = texts.join(hits, "key").select("key", "words", F.inline_outer("hits"))
     first = F.when(F.col("length") == WINDOW, F.greatest(F.lit(1), F.col("place") - (WINDOW - RUN)))
@@ -138,6 +140,8 @@ def contaminated_spans(
             F.transform(places, lambda s: F.array_join(F.slice("words", s, F.col("length")), " "))
         ).alias("window"),
     ).distinct()
+    if not few:
+        item_windows = item_windows.hint("merge")
     return candidates.join(item_windows, ["length", "window"]).select("key", "start", "length", "item")
 
 

@@ -61,7 +61,8 @@ def repeated_starts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     first = first.where("n > 1").select("h1", "h2", "first")
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = places.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALT)).cast("int"))
-    later = salted.join(first, ["h1", "h2", "salt"]).where("place <> first")
+    # Spark takes the salted copies for as few as the windows, and would broadcast them.
+    later = salted.join(first.hint("merge"), ["h1", "h2", "salt"]).where("place <> first")
     return later.groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 

@@ -1,5 +1,6 @@
 """Line windows and URL rules: edge cases; the SQL twins cover the given tables."""
 
+from pyspark.sql import functions as F
 
 from loamlog.llm import linededup, urlfilter
 
@@ -105,3 +106,12 @@ def test_shuffled_rules_judge_alike(spark, monkeypatch):
     before = judged(spark, urls, rules)
     monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 0)
     assert judged(spark, urls, rules) == before == [("a.b", "/xy", "a.b/x", "block"), ("c.b", "/xy", "b/", "allow")]
+
+
+def test_salted_windows_are_never_broadcast(spark):
+    """16 copies of each repeated window, which Spark sizes as the windows alone."""
+    text = F.concat_ws("\n", *[F.concat(F.lit(f"{i} "), F.col("id") % 7) for i in range(5)])
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), text.alias("text"))
+    found = linededup.repeated_starts(rows, "doc_id", "text")
+    assert sum(len(r["starts"]) for r in found.collect()) == 3 * (100 - 7)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
