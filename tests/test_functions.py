@@ -23,7 +23,7 @@ from loamlog.functions.timestamps import (
     split_range,
     to_micros,
 )
-from loamlog.functions.variants import longer_than, scalar_text
+from loamlog.functions.variants import display_text, longer_than, scalar_text
 from loamlog.operators.filters import escape_like
 
 # One case per clause of the rule: date, clock, fraction, zone; what each may and may not hold.
@@ -214,3 +214,10 @@ def test_like_escape():
     assert escape_like("a_b") == r"a\_b"
     assert escape_like("a\\b") == r"a\\b"
     assert escape_like("plain") == "plain"
+
+
+def test_integers_of_a_list_show_as_their_doubles(spark):
+    texts = ["0", "-0", "7", "-12", "9007199254740992", "-9007199254740993", "1e21", "0.5"]
+    shown = ["0", "0", "7", "-12", "9007199254740992", "-9007199254740992", "1e+21", "0.5"]
+    row = spark.sql("SELECT parse_json('[" + ", ".join(texts) + "]') AS v").select(display_text(F.col("v")))
+    assert row.first()[0] == ",".join(shown)

@@ -60,3 +60,10 @@ def test_groups_of_flushes_grow_and_keep_the_order():
     assert [n for _, group in groups for n in group] == names and len(groups) < 20
     assert [start for start, _ in groups][:4] == [0, 1, 3, 7]
     assert max(len(group) for _, group in groups) == flushes.GROUP
+
+
+def test_dead_letters_are_read_back_in_one_look(spark):
+    from loamlog.plans import registry
+
+    plan = explained(registry.queries()["dead_letters"](spark, "/root/testdata/sf0.001"))
+    assert "json_tuple(entry" in plan and "get_json_object(entry" not in plan
