@@ -67,3 +67,19 @@ def test_dead_letters_are_read_back_in_one_look(spark):
 
     plan = explained(registry.queries()["dead_letters"](spark, "/root/testdata/sf0.001"))
     assert "json_tuple(entry" in plan and "get_json_object(entry" not in plan
+
+
+def test_checked_entries_are_not_sorted_by_their_file(spark, tmp_path, monkeypatch):
+    """Two files a task are open side by side; the setting is as before when they are written."""
+    from pyspark.sql import DataFrameWriter
+
+    key, seen, plain = "spark.sql.maxConcurrentOutputFileWriters", {}, DataFrameWriter.parquet
+
+    def parquet(writer, path, *more, **options):
+        seen["checked" if "/checked" in path else "others"] = int(spark.conf.get(key))
+        return plain(writer, path, *more, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    before = spark.conf.get(key)
+    LogStore(spark, f"{tmp_path}/store").ingest(mixed_requests(_events(spark, 6)), NOW)
+    assert seen == {"checked": 3, "others": int(before)} and spark.conf.get(key) == before
